@@ -51,3 +51,16 @@ def held_out(id_col) -> F.Column:
 def bounded_broadcast(df: DataFrame, rows: int, known: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has `rows` rows at most (counted, unless known); else df, for a shuffled join."""
     return F.broadcast(df) if (df.count() if known is None else known) <= rows else df
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and label (0 or 1) of labelled rows outside the held-out fold; a hash of the id picks max_rows ids at most.
+
+    Rows without id or label are left out; an id with several labels has the largest."""
+    chosen = (
+        labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+        .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+        .orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    )
+    chosen = F.broadcast(store(chosen, f"labels-{label_col}"))  # max_rows rows at most
+    return store(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "label"), f"sample-{label_col}")

@@ -7,6 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from starling.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.toxicity import learn, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.warc import archive
+
+    return archive(spark, table(spark, sf_dir, "pages"))[0]
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.quality import learn, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starling.llm.secret_scan import scan_secrets
 
@@ -27,5 +47,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {"op7_secrets": op7_secrets, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_warc": op3_warc, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
+ORACLES = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+               CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (d)
+    """,
+}
