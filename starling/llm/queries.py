@@ -27,12 +27,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starling.llm.secret_scan import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents")).drop("live")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,8 +59,19 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_warc": op3_warc, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_html": op6_html, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
 ORACLES = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
