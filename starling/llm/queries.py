@@ -14,12 +14,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starling.llm.warc import archive
 
     return archive(spark, table(spark, sf_dir, "pages"))[0]
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starling.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starling.llm.quality import learn, score_quality
 
@@ -59,8 +71,26 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_warc": op3_warc, "op5_quality": op5_quality, "op6_html": op6_html, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_warc": op3_warc, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_html": op6_html, "op7_secrets": op7_secrets, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_shards": op10_shards}
 ORACLES = {
+    "op2_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+        ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        link AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= 85 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, r.c AS component_id, s.doc_id = r.c AS kept
+        FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON s.doc_id = r.a
+    """,
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
