@@ -14,9 +14,12 @@ def components(links: DataFrame) -> DataFrame:
     both = store(both, "components-links")
     labels = store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "components-labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        # Each id, and the id it is labelled with, takes the least label around it; then labels are followed one step.
+        own = labels.select(F.col("id").alias("a"), F.col("label").alias("top"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).join(own, "a")
+        offers = near.select(F.explode(F.array("a", "top")).alias("id"), "near").groupBy("id").agg(F.min("near").alias("near"))
+        lower = labels.join(offers, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = store(lower.join(jump, "label").select("id", "was", F.least("label", "further").alias("label")), "components-labels")
         labels = new.select("id", "label")
         if new.where("label <> was").isEmpty():

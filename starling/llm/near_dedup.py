@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -89,36 +90,65 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.where(least == np.iinfo(np.uint64).max, -1, register).astype(np.int32)
 
 
-def band_plan(threshold: float) -> tuple[int, int]:
-    """Registers of a band, as many as allow for few enough bands, and bands."""
-    for rows in range(8, 0, -1):
-        n = math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))
-        if n <= MOST_BANDS or rows == 1:
-            return rows, n
+@dataclass(frozen=True)
+class Bands:
+    """Bands for sets of `least` to under `below` shingles."""
 
-
-@lru_cache(maxsize=8)
-def band_registers(rows: int, n: int) -> list[list[int]]:
-    rng = np.random.default_rng(11)
-    return [sorted(map(int, rng.choice(REGISTERS, rows, replace=False))) for _ in range(n)]
-
-
-def band_keys(registers: np.ndarray, plan: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Per sketch and band a key, and whether any of the band's registers is filled."""
-    keys, some = [], []
-    with np.errstate(over="ignore"):
-        for band, which in enumerate(band_registers(*plan)):
-            h = np.full(len(registers), band + 1, np.uint64)
-            for i in which:
-                h = (h ^ registers[:, i].astype(np.uint64)) * A
-                h ^= h >> np.uint64(29)
-            keys.append(h * C)
-            some.append((registers[:, which] >= 0).any(axis=1))
-    return np.stack(keys, 1).view(np.int64), np.stack(some, 1)
+    least: int
+    below: float
+    registers: tuple[tuple[int, ...], ...]
 
 
-def signatures(docs: DataFrame, k: int, least: float, plan: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers, keys of the bands (none for sets of fewer than `least` shingles)."""
+@lru_cache(maxsize=8)
+def band_plan(threshold: float) -> tuple[Bands, ...]:
+    """Bands by size of set. Small sets leave most registers empty, so their bands have more registers.
+
+    A set of fewer than t / (1 - t) shingles has no similar other set. Two linked sets of
+    under n shingles differ in d = 2 (1 - t) (n - 1) / (1 + t) at most, each of which
+    spoils one register at most; so a band of r registers is equal with a chance of
+    (1 - r / REGISTERS) ** d or more. Large sets have equal registers with a chance of t each."""
+    rng, out = np.random.default_rng(11), []
+
+    def add(least: int, below: float, rows: int, equal: float) -> None:
+        n = math.ceil(math.log(MISS) / math.log1p(-equal))
+        out.append(Bands(least, below, tuple(tuple(sorted(map(int, rng.choice(REGISTERS, rows, replace=False)))) for _ in range(n))))
+
+    least, rows = math.ceil(threshold / (1 - threshold) - 1e-9), REGISTERS // 2
+    while rows >= 8:
+        spoilt = math.floor(2 * (1 - threshold) * (2 * least - 1) / (1 + threshold) + 1e-9)
+        add(least, 2 * least, rows, (1 - rows / REGISTERS) ** spoilt)
+        least, rows = 2 * least, rows // 2
+    rows = next(r for r in range(8, 0, -1) if r == 1 or math.log(MISS) / math.log1p(-(threshold**r)) <= MOST_BANDS)
+    add(least, math.inf, rows, threshold**rows)
+    return tuple(out)
+
+
+def band_keys(registers: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each band of each sketch in which some register is filled, by row.
+
+    A set also has the bands of the next sizes if a set of those can be similar to it."""
+    rows, keys = [], []
+    largest = np.floor(sizes / threshold + 1e-9)
+    for kind, bands in enumerate(band_plan(threshold)):
+        who = np.flatnonzero((largest >= bands.least) & (sizes < bands.below) & (sizes >= band_plan(threshold)[0].least))
+        mine = registers[who]
+        for band, which in enumerate(bands.registers):
+            h = np.full(len(who), kind << 32 | band + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for i in which:
+                    h = (h ^ mine[:, i].astype(np.int64).view(np.uint64)) * A
+                    h ^= h >> np.uint64(29)
+                h *= C
+            some = (mine[:, which] >= 0).any(axis=1)
+            rows.append(who[some])
+            keys.append(h[some])
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], keys[order].view(np.int64)
+
+
+def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, registers, keys of the bands."""
 
     def sign(batches):
         for batch in batches:
@@ -130,10 +160,9 @@ def signatures(docs: DataFrame, k: int, least: float, plan: tuple[int, int], id_
                 registers.append(sketch(h))
             flat = np.concatenate(registers) if registers else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * REGISTERS), pa.array(flat))
-            keys, some = band_keys(flat.reshape(-1, REGISTERS), plan)
-            some &= (np.array(n) >= least)[:, None]
-            ends = np.r_[0, np.cumsum(some.sum(axis=1))].astype(np.int32)
-            key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some]))
+            of, keys = band_keys(flat.reshape(-1, REGISTERS), np.array(n, dtype=np.int64), threshold)
+            ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
+            key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, key_lists], ["doc_id", "n_shingles", "digest", "registers", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -200,8 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     same smallest doc_id count as one. A row without doc_id links nothing: its
     component_id is null and it is kept. Repeated rows give repeated results, an
     empty table none, and other columns are ignored."""
-    # In a set of fewer shingles than this, one more or less is already too much.
-    signed = store(signatures(docs, k, num / (den - num), band_plan(num / den), id_col, text_col), "dedup-signed")
+    signed = store(signatures(docs, k, num / den, id_col, text_col), "dedup-signed")
     named = signed.where("doc_id is not null and n_shingles > 0")
     of_set = named.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("registers", "registers"), ("keys", "keys"))])
     nodes = store(of_set, "dedup-nodes")
