@@ -1,12 +1,74 @@
-"""The corpus pipeline: stages that each apply one operator to all their predecessor kept."""
+"""The corpus pipeline: five stages, each applying one operator to all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and reread as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from starling.llm.common import bounded_broadcast, store, table
+
+#: Ids of removed near-duplicates that may be broadcast; beyond, a shuffled join removes them.
+REMOVED_BROADCAST = 500_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the lexicon, learned from the labelled ones among them, calls toxic."""
+    from starling.llm.toxicity import learn, score_udf
+
+    lexicon = learn(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score_udf(lexicon)(F.col("text"))["predicted"] == 0)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: five-word shingles, similarity 0.8 or more. Documents without words all stay."""
+    from starling.llm.near_dedup import near_duplicates
+
+    found = store(near_duplicates(docs, k=5, num=80, den=100), "pipeline-groups")
+    removed = found.where("not kept").select("doc_id").distinct()
+    kept = docs.join(bounded_broadcast(removed, REMOVED_BROADCAST), "doc_id", "left_anti")
+    repeated = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # rows that repeat an id
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+        one = kept.where("doc_id is not null").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+        kept = one.unionByName(kept.where("doc_id is null"))
+    return kept.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item, in whatever order its passages stand."""
+    from starling.llm.decontaminate import drop_leaks
+
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks credentials that look live, that is, which few owners carry; all documents stay."""
+    from starling.llm.secret_scan import redact_live
+
+    masked = redact_live(docs)
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return masked.withColumn("n_chars", n_chars) if "n_chars" in masked.columns else masked
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again: the documents' columns without the text, token_ids, n_tokens and whether the round trip is exact."""
+    import public_tokenizers
+
+    from starling.llm.bpe import decode_udf, encode_udf
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumn("token_ids", encode_udf(*path)(text)).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return out.withColumn("exact", decode_udf(*path)("token_ids") == text.cast("binary")).drop("text")
+
 
-from starling.llm.common import store, table
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("tokens", tokens)]
 
-STAGES: list = []
+#: No stage can be put into SQL as a whole; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 

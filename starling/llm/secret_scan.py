@@ -107,3 +107,61 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_assign", "n_access", "n_hex", "base_sha256", "spans",
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"), "live",
     )
+
+
+#: Copied values that are shipped to the tasks as a set; beyond, live spans are joined to the rows.
+COPIED_SHIPPED = 500_000
+MASK = "[REDACTED]"
+
+
+def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text with MASK for each span, overlapping ones as one."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        out += [text[at:a], MASK]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = COPIED_OWNERS) -> DataFrame:
+    """docs with the values of live-looking secrets masked; copied examples and all other columns stay as they are.
+
+    The corpus is scanned once for the counts and once to mask, so no text is shuffled."""
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("\0null"))
+    repo = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repo_cols)]))
+    found = docs.select(owner.alias("owner"), repo.alias("repo"), _scan_udf()(F.col(text_col))["found"].alias("found")).where(F.size("found") > 0)
+    found = found.select("owner", "repo", F.explode("found.hash").alias("hash"))
+    copied = store(ownership(found, copied_owners).where("copied").select("hash"), "secrets-copied")
+
+    if copied.count() <= COPIED_SHIPPED:
+        examples = docs.sparkSession.sparkContext.broadcast({r[0] for r in copied.collect()})
+
+        @F.arrow_udf("string")
+        def mask(text: pa.Array) -> pa.Array:
+            def one(x):
+                spans = [(v, b) for _, _, b, v in find(x) if hashlib.sha256(x[v:b].encode("utf-8", "surrogatepass")).hexdigest() not in examples.value]
+                return redact(x, spans)
+
+            return pa.array([one(x) for x in text.to_pylist()], type=pa.string())
+
+        return docs.withColumn(text_col, mask(F.col(text_col)))
+
+    packed = store(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"), _scan_udf()(F.col(text_col))["found"].alias("found")), "secrets-packed")
+    live = packed.where(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.*").join(copied, "hash", "left_anti")
+    spans = live.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("value_from", "end"))).alias("spans"))
+
+    @F.arrow_udf("string")
+    def mask_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([redact(x, [(s["value_from"], s["end"]) for s in y or ()]) for x, y in zip(text.to_pylist(), spans.to_pylist())], type=pa.string())
+
+    joined = packed.join(spans, "rid", "left")
+    masked = joined.withColumn("masked", mask_spans(F.col("row")[text_col], F.col("spans")))
+    return masked.select(*[F.col("masked").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
