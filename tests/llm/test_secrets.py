@@ -1,0 +1,47 @@
+import hashlib
+import re
+
+from starling.llm import secret_scan as S
+
+KIND = "doc_id long, text string, lang string, source string, spans int"
+T1, T2 = "a" * 30 + "1", "deadbeef" * 4
+
+
+def by_the_contract(text):
+    out = []
+    for kind, pattern, flags, least, group in (("assign", S.ASSIGN, re.I | re.A, 6, 2), ("access", S.ACCESS, 0, 20, 0), ("hex", "[0-9a-f]+", 0, 24, 0)):
+        out += [(m.start(), S.KINDS.index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "", flags) if len(m[group]) >= least]
+    return ",".join(x[2] for x in sorted(out))
+
+
+TEXTS = [None, "", "plain", "password = hunter22", "Password: 'abc' token=abcdef", "api_key=\"AKIA" + "Z" * 16 + "\" é " + T2, "SECRET : " + T2 + " x", "ſecret = abcdefgh", "token=abc" + "\n" + "apiKey:" + T1, "AKIA" + "A" * 15, "f" * 23, "f" * 24 + "g" + "0" * 40, "passwd='s3cr3t-value' " * 50]
+
+
+def test_spans(spark):
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in enumerate(TEXTS)], KIND)
+    for r in S.scan_secrets(df).collect():
+        want = by_the_contract(TEXTS[r["doc_id"]])
+        assert r["spans"] == want and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [want.count("assign:"), want.count("access:"), want.count("hex:")]
+
+
+def test_ownership(spark):
+    copied, live = "token = 'example0000'", f"token = '{T2}'"
+    rows = [(i, copied, "en", f"s{i}", 0) for i in range(5)] + [(10 + i, live, "en", "s0", 0) for i in range(50)] + [(70, copied + " " + live, None, None, 0), (71, None, None, None, 0)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {r["doc_id"]: r for r in S.scan_secrets(df).collect()}
+    assert (got[0]["n_live"], got[0]["n_copied"]) == (0, 1)
+    assert got[10]["n_live"] == 2 and got[10]["n_copied"] == 0  # as an assignment and as hex
+    assert (got[70]["n_live"], got[70]["n_copied"], got[71]["n_live"]) == (2, 1, 0)
+    assert len(got) == len(rows) and S.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_masking_ways_agree(spark, monkeypatch):
+    rows = [(i, "token = 'example0000' end", "en", f"s{i}", i) for i in range(5)] + [(9, f"é x {T2} y {T2}", "en", "s1", 3), (10, None, None, None, None), (9, f"é x {T2} y {T2}", "en", "s1", 3)]
+    df = spark.createDataFrame(rows, KIND)
+    one = sorted(map(tuple, S.redact_live(df).collect()), key=str)
+    monkeypatch.setattr(S, "COPIED_SHIPPED", -1)
+    two = sorted(map(tuple, S.redact_live(df).collect()), key=str)
+    assert one == two and len(one) == len(rows)
+    assert (9, "é x [REDACTED] y [REDACTED]", "en", "s1", 3) in one and (0, "token = 'example0000' end", "en", "s0", 0) in one
+    assert S.redact("abcdef", [(1, 3), (2, 5)]) == "a[REDACTED]f"
