@@ -9,8 +9,9 @@ one key are candidates.
 Within a key no pairs are made. Every member is paired with the key's smallest
 document, its centre. An estimate of the Jaccard similarity from equal registers,
 corrected for registers that are equal by chance, splits those pairs: dissimilar
-members get a new centre in a further round, similar ones form a family with
-theirs, and what may be a link is confirmed on the full sets. Confirmed links join
+members get a new centre in a second round and are then paired by finer bands,
+similar ones form a family with theirs, and what may be a link is confirmed on the
+full sets. Confirmed links join
 families into components, and most families are one component then. Where one
 holds several, links between its components are looked for in blocks, exactly, by
 one task for each two blocks of members.
@@ -31,18 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import store
+from starling.llm.common import bounded_broadcast, store
 from starling.llm.components import components
 
-REGISTERS, MANTISSA_BITS = 128, 10
+REGISTERS, MANTISSA_BITS, EMPTY = 128, 10, -(1 << 15)
 #: Chance, at most, that no band shows a link just at the threshold; bands at most.
-MISS, MOST_BANDS = 1e-7, 64
+MISS, MOST_BANDS, MOST_FINE_BANDS = 1e-7, 64, 256
 #: Estimates below this are dissimilar; standard errors by which an estimate may lie below the threshold of a link.
-LOOSE, ERRORS = 0.4, 6.5
-#: Rounds of centres; what is left then is compared in blocks.
-ROUNDS = 4
+LOOSE, ERRORS = 0.6, 6.5
+#: Rounds of centres; what is left then is paired by finer bands.
+ROUNDS = 2
 #: Members of a block of a family.
 BLOCK = 256
+#: Ids of documents in families that may be broadcast to pick their texts; beyond, a shuffled join does it.
+SETS_BROADCAST = 1_000_000
 _WORDS_KEPT = 300_000
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -81,13 +84,13 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Registers of a set: leading zeros and mantissa of each register's least value, -1 where none fell."""
+    """Registers of a set, as small integers: leading zeros and mantissa of each register's least value, EMPTY where none fell."""
     bits = REGISTERS.bit_length() - 1
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, (hashes & np.uint64(REGISTERS - 1)).astype(np.int64), hashes >> np.uint64(bits))
     mantissa, exponent = np.frexp(least.astype(np.float64))
     register = (64 - bits - exponent) * (1 << MANTISSA_BITS) + (mantissa * (2 << MANTISSA_BITS)).astype(np.int64) % (1 << MANTISSA_BITS)
-    return np.where(least == np.iinfo(np.uint64).max, -1, register).astype(np.int32)
+    return np.where(least == np.iinfo(np.uint64).max, EMPTY, register + EMPTY + 1).astype(np.int16)
 
 
 @dataclass(frozen=True)
@@ -100,13 +103,15 @@ class Bands:
 
 
 @lru_cache(maxsize=8)
-def band_plan(threshold: float) -> tuple[Bands, ...]:
+def band_plan(threshold: float, fine: bool = False) -> tuple[Bands, ...]:
     """Bands by size of set. Small sets leave most registers empty, so their bands have more registers.
 
     A set of fewer than t / (1 - t) shingles has no similar other set. Two linked sets of
     under n shingles differ in d = 2 (1 - t) (n - 1) / (1 + t) at most, each of which
     spoils one register at most; so a band of r registers is equal with a chance of
-    (1 - r / REGISTERS) ** d or more. Large sets have equal registers with a chance of t each."""
+    (1 - r / REGISTERS) ** d or more. Large sets have equal registers with a chance of t each.
+
+    Fine bands have more registers, and are more, than the others."""
     rng, out = np.random.default_rng(11), []
 
     def add(least: int, below: float, rows: int, equal: float) -> None:
@@ -116,21 +121,24 @@ def band_plan(threshold: float) -> tuple[Bands, ...]:
     least, rows = math.ceil(threshold / (1 - threshold) - 1e-9), REGISTERS // 2
     while rows >= 8:
         spoilt = math.floor(2 * (1 - threshold) * (2 * least - 1) / (1 + threshold) + 1e-9)
-        add(least, 2 * least, rows, (1 - rows / REGISTERS) ** spoilt)
+        wide = min(2 * rows, 3 * REGISTERS // 4) if fine else rows
+        add(least, 2 * least, wide, (1 - wide / REGISTERS) ** spoilt)
         least, rows = 2 * least, rows // 2
-    rows = next(r for r in range(8, 0, -1) if r == 1 or math.log(MISS) / math.log1p(-(threshold**r)) <= MOST_BANDS)
+    most, widest = (MOST_FINE_BANDS, 24) if fine else (MOST_BANDS, 8)
+    rows = next(r for r in range(widest, 0, -1) if r == 1 or math.log(MISS) / math.log1p(-(threshold**r)) <= most)
     add(least, math.inf, rows, threshold**rows)
     return tuple(out)
 
 
-def band_keys(registers: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(registers: np.ndarray, sizes: np.ndarray, threshold: float, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of each band of each sketch in which some register is filled, by row.
 
     A set also has the bands of the next sizes if a set of those can be similar to it."""
     rows, keys = [], []
     largest = np.floor(sizes / threshold + 1e-9)
-    for kind, bands in enumerate(band_plan(threshold)):
-        who = np.flatnonzero((largest >= bands.least) & (sizes < bands.below) & (sizes >= band_plan(threshold)[0].least))
+    plan = band_plan(threshold, fine)
+    for kind, bands in enumerate(plan):
+        who = np.flatnonzero((largest >= bands.least) & (sizes < bands.below) & (sizes >= plan[0].least))
         mine = registers[who]
         for band, which in enumerate(bands.registers):
             h = np.full(len(who), kind << 32 | band + 1, np.uint64)
@@ -139,7 +147,7 @@ def band_keys(registers: np.ndarray, sizes: np.ndarray, threshold: float) -> tup
                     h = (h ^ mine[:, i].astype(np.int64).view(np.uint64)) * A
                     h ^= h >> np.uint64(29)
                 h *= C
-            some = (mine[:, which] >= 0).any(axis=1)
+            some = (mine[:, which] != EMPTY).any(axis=1)
             rows.append(who[some])
             keys.append(h[some])
     rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -158,7 +166,7 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 registers.append(sketch(h))
-            flat = np.concatenate(registers) if registers else np.zeros(0, np.int32)
+            flat = np.concatenate(registers) if registers else np.zeros(0, np.int16)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * REGISTERS), pa.array(flat))
             of, keys = band_keys(flat.reshape(-1, REGISTERS), np.array(n, dtype=np.int64), threshold)
             ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
@@ -166,7 +174,19 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, key_lists], ["doc_id", "n_shingles", "digest", "registers", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, registers array<int>, keys array<long>")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, registers array<smallint>, keys array<long>")
+
+
+def fine_keys(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes (node, n, registers) -> (node, key) of their fine bands."""
+
+    def make(batches):
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy().reshape(-1, REGISTERS)
+            of, keys = band_keys(flat, batch.column(1).to_numpy(), threshold, fine=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(keys)], ["node", "key"])
+
+    return nodes.select("node", "n", "registers").mapInArrow(make, "node long, key long")
 
 
 def _estimate(a: str, b: str, n: str, m: str) -> tuple[F.Column, F.Column]:
@@ -174,20 +194,26 @@ def _estimate(a: str, b: str, n: str, m: str) -> tuple[F.Column, F.Column]:
 
     Two least values of n and m hashes that differ share a register with a chance near
     2**-MANTISSA_BITS * nm / (n + m)**2 / (2 ln 2)."""
-    used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x >= 0) | (y >= 0)), lambda x: x))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x >= 0) & (x == y)), lambda x: x))
+    used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) | (y != EMPTY)), lambda x: x))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) & (x == y)), lambda x: x))
     chance = F.lit(2.0**-MANTISSA_BITS / (2 * math.log(2))) * F.col(n) * F.col(m) / F.pow(F.col(n) + F.col(m), F.lit(2))
     return F.greatest(F.lit(0.0), (same / used - chance) / (1 - chance)), used
 
 
-def _set_udf(k: int):
-    from pyspark.sql.types import ArrayType, LongType
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, sets) of the rows whose id is among ids; several sets only where rows share an id."""
 
-    @F.arrow_udf(ArrayType(LongType()))
-    def full_set(text: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(x.as_py(), k).view(np.int64) for x in text], type=pa.list_(pa.int64()))
+    def make(batches):
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), k).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["id", "set"])
 
-    return full_set
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(bounded_broadcast(ids, SETS_BROADCAST), "id", "left_semi")
+    sets = store(texts.mapInArrow(make, "id long, set array<long>").where(F.size("set") > 0), "dedup-sets")
+    if sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return sets.select("id", F.array("set").alias("sets"))
+    return store(sets.groupBy("id").agg(F.collect_set("set").alias("sets")), "dedup-sets")
 
 
 def _linked(num: int, den: int, both, n, m):
@@ -239,37 +265,38 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     members = store(banded.join(shared, "key"), "dedup-members")
 
     size = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    families, found = None, None
+    estimate, used = _estimate("r", "s", "n", "m")
+    least = F.lit(num / den) - F.lit(ERRORS * math.sqrt(num * (den - num)) / den) / F.sqrt(F.greatest(used, F.lit(1)))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """(node, centre) with whether they are similar and whether they may be a link."""
+        one = pairs.join(big.select("node", "n", F.col("registers").alias("r")), "node")
+        two = one.join(big.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
+        return two.select("node", "centre", (estimate >= LOOSE).alias("similar"), (size & (estimate >= least)).alias("maybe"))
+
+    families = None
     for turn in range(ROUNDS):
         centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
         at = store(members.join(centres, "key").where("node <> centre"), "dedup-at-centres")
-        pairs = store(at.select("node", "centre").distinct(), "dedup-pairs")
-        one = pairs.join(big.select("node", "n", F.col("registers").alias("r")), "node")
-        two = one.join(big.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
-        estimate, used = _estimate("r", "s", "n", "m")
-        judged = two.select("node", "centre", estimate.alias("estimate"), used.alias("used"), size.alias("fits"))
-        least = F.lit(num / den) - F.lit(ERRORS * math.sqrt(num * (den - num)) / den) / F.sqrt(F.greatest("used", F.lit(1)))
-        judged = store(judged.select("node", "centre", (F.col("estimate") >= LOOSE).alias("similar"), (F.col("fits") & (F.col("estimate") >= least)).alias("maybe")), "dedup-judged")
+        judged = store(judge(at.select("node", "centre").distinct()), "dedup-judged")
         similar = judged.where("similar or maybe").select(F.col("node").alias("a"), F.col("centre").alias("b"), "maybe")
         families = similar if families is None else families.unionByName(similar)
-        far = judged.where("not similar and not maybe").select("node", "centre")
-        if far.isEmpty():
-            members = None
-            break
-        members = store(at.join(far, ["node", "centre"]).select("key", "node"), "dedup-members")
-    if members is not None:
-        # Dissimilar to every centre so far: members of one key become one family, which is compared in blocks.
-        rest = members.groupBy("key").agg(F.min("node").alias("centre"))
-        families = families.unionByName(members.join(rest, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(False).alias("maybe")).distinct())
+        members = store(at.join(judged.where("not similar and not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node"), "dedup-members")
+    # Dissimilar to every centre so far, yet with others in its place: passages that many texts share do that. Fine bands
+    # tell those apart, so what they bring together is paired directly.
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    left = store(members.join(several, "key").select("node").distinct(), "dedup-left")
+    if not left.isEmpty():
+        fine = store(fine_keys(big.join(left, "node", "left_semi"), num / den), "dedup-fine")
+        pairs = fine.select("key", F.col("node").alias("centre")).join(fine, "key").where("centre < node").select("node", "centre").distinct()
+        families = families.unionByName(judge(pairs).where("maybe").select(F.col("node").alias("a"), F.col("centre").alias("b"), "maybe"))
     families = store(families.distinct(), "dedup-families")
 
     if families.isEmpty():
         found = nodes.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
     else:
-        within = families.select(F.col("a").alias("id")).union(families.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(within, "id", "left_semi")
-        sets = texts.select("id", _set_udf(k)("text").alias("set")).where(F.size("set") > 0)
-        sets = store(sets.groupBy("id").agg(F.collect_set("set").alias("sets")), "dedup-sets")  # one, unless ids repeat
+        within = store(families.select(F.col("a").alias("id")).union(families.select(F.col("b").alias("id"))).distinct(), "dedup-within")
+        sets = full_sets(docs, within, k, id_col, text_col)
         pairs = families.where("maybe").select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
         both = lambda x, y: F.size(F.array_intersect(x, y))
         link = F.exists("x", lambda x: F.exists("y", lambda y: _linked(num, den, both(x, y), F.size(x), F.size(y))))
