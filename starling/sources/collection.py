@@ -186,6 +186,13 @@ class Collection:
             raise errors.DuplicateId(twice["id"])
         self._append(self._adds(batch))
 
+    def add_flat(self, ids, flat, metadatas=None) -> None:
+        """Vectors one after the other in a flat sequence, such as a float32 array."""
+        ids, flat = list(ids), list(flat)
+        if len(flat) != len(ids) * self.dim:
+            raise errors.DimensionMismatch(len(ids) * self.dim, len(flat))
+        self.add_many(ids, [flat[k : k + self.dim] for k in range(0, len(flat), self.dim)], metadatas)
+
     def upsert(self, id: str, vector, metadata=None) -> None:
         self.upsert_many([id], [vector], [metadata])
 
