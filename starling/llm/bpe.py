@@ -21,12 +21,15 @@ import hashlib
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encoding a Python worker remembers, in each of two generations; no result depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
+#: Pairs of tokens that a worker remembers, to the same effect.
+CACHE_PAIRS = 300_000
 
 RESULT_TYPE = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -96,7 +99,7 @@ class Vocabulary:
                     rank = get(x + y)
                     if rank is not None and rank < x_used and rank <= y_used and x_made < y_used and y_made < x_used:
                         known = False
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) >= CACHE_PAIRS:
                 self._follows.clear()
             self._follows[key] = known
         return known
@@ -259,8 +262,11 @@ def encode_udf(path: str, pattern: str):
     """text -> array<int> of token ids; a null text gives null."""
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        e = encoder(path, pattern)
-        return pa.array([None if x is None else e.encode(x) for x in text.to_pylist()], type=pa.list_(pa.int32()))
+        e, rows = encoder(path, pattern), []
+        for x in text:  # each row's ids are packed at once: lists of a whole batch would take many times the room
+            rows.append(np.array(e.encode(x.as_py() or ""), dtype=np.int32))
+        ends = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])), mask=pa.array(text.is_null()))
 
     return encode
 
@@ -270,7 +276,7 @@ def decode_udf(path: str, pattern: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         e = encoder(path, pattern)
-        return pa.array([None if x is None else e.decode(x) for x in ids.to_pylist()], type=pa.binary())
+        return pa.array([e.decode(x.as_py()) if x.is_valid else None for x in ids], type=pa.binary())
 
     return decode
 
