@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encoding a Python worker remembers, in each of two generations; no result depends on it.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 #: Pairs of tokens that a worker remembers, to the same effect.
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 1_000_000
 
 RESULT_TYPE = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
