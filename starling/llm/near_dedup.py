@@ -9,12 +9,13 @@ one key are candidates.
 Within a key no pairs are made. Every member is paired with the key's smallest
 document, its centre. An estimate of the Jaccard similarity from equal registers,
 corrected for registers that are equal by chance, splits those pairs: dissimilar
-members get a new centre in a second round and are then paired by finer bands,
-similar ones form a family with theirs, and what may be a link is confirmed on the
-full sets. Confirmed links join
-families into components, and most families are one component then. Where one
-holds several, links between its components are looked for in blocks, exactly, by
-one task for each two blocks of members.
+members get a new centre in a second round, similar ones form a family with theirs,
+and what may be a link is confirmed on the full sets. Of a key with dissimilar
+members, all members have finer bands, which pair those of different families
+directly, as one that is similar to a centre may be linked to one that isn't.
+Confirmed links join families into components, and most families are one component
+then. Where one holds several, links between its components are looked for in
+blocks, exactly, by one task for each two blocks of members.
 
 Documents with equal sets are one node from the start.
 """
@@ -40,7 +41,7 @@ REGISTERS, MANTISSA_BITS, EMPTY = 128, 10, -(1 << 15)
 MISS, MOST_BANDS, MOST_FINE_BANDS = 1e-7, 64, 256
 #: Estimates below this are dissimilar; standard errors by which an estimate may lie below the threshold of a link.
 LOOSE, ERRORS = 0.6, 6.5
-#: Rounds of centres; what is left then is paired by finer bands.
+#: Rounds of centres.
 ROUNDS = 2
 #: Members of a block of a family.
 BLOCK = 256
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         two = one.join(big.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
         return two.select("node", "centre", (estimate >= LOOSE).alias("similar"), (size & (estimate >= least)).alias("maybe"))
 
-    families = None
+    families, parted, every = None, None, members
     for turn in range(ROUNDS):
         centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
         at = store(members.join(centres, "key").where("node <> centre"), "dedup-at-centres")
@@ -282,28 +283,36 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         similar = judged.where("similar or maybe").select(F.col("node").alias("a"), F.col("centre").alias("b"), "maybe")
         families = similar if families is None else families.unionByName(similar)
         members = store(at.join(judged.where("not similar and not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node"), "dedup-members")
-    # Dissimilar to every centre so far, yet with others in its place: passages that many texts share do that. Fine bands
-    # tell those apart, so what they bring together is paired directly.
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    left = store(members.join(several, "key").select("node").distinct(), "dedup-left")
-    if not left.isEmpty():
-        fine = store(fine_keys(big.join(left, "node", "left_semi"), num / den), "dedup-fine")
-        pairs = fine.select("key", F.col("node").alias("centre")).join(fine, "key").where("centre < node").select("node", "centre").distinct()
-        families = families.unionByName(judge(pairs).where("maybe").select(F.col("node").alias("a"), F.col("centre").alias("b"), "maybe"))
+        parted = members.select("key").distinct() if parted is None else parted
     families = store(families.distinct(), "dedup-families")
-
-    if families.isEmpty():
+    family = components(families)
+    # Two members of a key are in one family if both are similar to its centre. In the other keys any two may be linked, and
+    # passages that many texts share make such keys. Fine bands tell those texts apart, so what they bring together is paired
+    # directly, but for what is in one family already.
+    direct = families.select("a", "b").limit(0)
+    left = store(every.join(parted, "key").select("node").distinct(), "dedup-left")
+    if not left.isEmpty():
+        fine = fine_keys(big.join(left, "node", "left_semi"), num / den).join(family.withColumnRenamed("id", "node"), "node", "left")
+        fine = store(fine.select("key", "node", F.coalesce("label", "node").alias("family")), "dedup-fine")
+        open_keys = fine.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
+        fine = store(fine.join(open_keys, "key"), "dedup-fine")
+        other = fine.select("key", F.col("node").alias("centre"), F.col("family").alias("other"))
+        pairs = fine.join(other, "key").where("centre < node and family <> other").select("node", "centre").distinct()
+        direct = store(judge(pairs).where("maybe").select(F.col("node").alias("a"), F.col("centre").alias("b")), "dedup-direct")
+
+    maybe = families.where("maybe").select("a", "b").union(direct)
+    if families.isEmpty() and direct.isEmpty():
         found = nodes.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
     else:
-        within = store(families.select(F.col("a").alias("id")).union(families.select(F.col("b").alias("id"))).distinct(), "dedup-within")
+        within = store(family.select("id").union(direct.select("a")).union(direct.select("b")).distinct(), "dedup-within")
         sets = full_sets(docs, within, k, id_col, text_col)
-        pairs = families.where("maybe").select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
+        pairs = maybe.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
         both = lambda x, y: F.size(F.array_intersect(x, y))
         link = F.exists("x", lambda x: F.exists("y", lambda y: _linked(num, den, both(x, y), F.size(x), F.size(y))))
         links = store(pairs.where(link).select("a", "b"), "dedup-links")
         label = components(links)
-        family = components(families)
-        at = store(family.select("id", F.col("label").alias("family")).join(label, "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")), "dedup-at")
+        named_family = within.join(family, "id", "left").select("id", F.coalesce("label", "id").alias("family"))
+        at = store(named_family.join(label, "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")), "dedup-at")
         mixed = at.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         part = F.pmod(F.xxhash64("id"), F.col("blocks"))
         in_blocks = at.join(mixed.select("family", F.ceil(F.col("size") / BLOCK).alias("blocks")), "family").withColumn("part", part).join(sets, "id")

@@ -109,3 +109,30 @@ def test_components(spark):
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(65)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_across_a_centre(spark):
+    """A linked pair of which, in every band that the two share, one is similar to the centre and the other isn't."""
+    rng = random.Random(8)
+    x = [f"p{n}" for n in range(172)]
+    texts = [x, x + [f"q{n}" for n in range(28)]]
+
+    def signed(words):
+        h = N.shingle_hashes(" ".join(words), 1)
+        return N.sketch(h), set(N.band_keys(N.sketch(h)[None], np.array([len(h)]), 0.85)[1].tolist())
+
+    def similar(a, b):
+        return ((a == b) & (a != N.EMPTY)).sum() / ((a != N.EMPTY) | (b != N.EMPTY)).sum()
+
+    (one, keys), (two, more) = map(signed, texts)
+    open_keys, centres = keys & more, []
+    assert open_keys
+    while open_keys:
+        part = rng.sample(x, 112)
+        registers, its = signed(part)
+        if its & open_keys and similar(registers, one) > 0.61 and similar(registers, two) < 0.59:
+            centres.append(part)
+            open_keys -= its
+    rows = [(n, " ".join(words)) for n, words in enumerate(centres + texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == brute(rows, 1, 85, 100) and got[len(rows) - 1][1] == len(rows) - 2
