@@ -8,7 +8,7 @@ their exact distance.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from starling.functions.distance import as_double, check_vector, distance, distance_matrix, parse_metric
 from starling.functions.quantize import dequantize, parameters, quantize, train
-from starling.operators.search import _where, search
+from starling.operators.search import _where, search, search_many
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 100_000
+#: Recall that the lists probed by default must reach, over so many sampled queries and for so many results; for more results than the last all lists are probed.
+RECALL, QUERIES, RESULTS = 0.9, 200, (10, 100)
 #: Floats in a collection below which a scan is used.
 EXACT_BELOW = 10_000_000
 
@@ -47,44 +49,52 @@ def _kmeans(x: np.ndarray, n: int, seed: int, steps: int = 12) -> np.ndarray:
 
 @dataclass
 class IvfIndex:
-    """lists: records with list_id; sizes: list_id -> rows."""
+    """lists: records with list_id; sizes: list_id -> rows; needed: results -> lists to probe for them by default, as measured."""
 
     lists: DataFrame
     centroids: np.ndarray
     sizes: dict[int, int]
     metric: str
+    needed: dict[int, int] = field(default_factory=dict)
 
-    def probes(self, vector, effort: int) -> list[int]:
-        """Nearest lists until they hold `effort` rows."""
+    def order(self, vector) -> list[int]:
+        """Lists that hold rows, nearest first."""
         q = np.array([check_vector(vector)])
         if self.metric == "cosine":
             q = q / max(np.linalg.norm(q), 1e-30)
         order = distance_matrix("dot_product" if self.metric == "dot_product" else "euclidean", q, self.centroids)[0].argsort(kind="stable")
+        return [c for c in map(int, order) if self.sizes.get(c)]
+
+    def probes(self, vector, k: int, effort: int | None = None) -> list[int]:
+        """Nearest lists until they hold `effort` rows; without effort, as many as reach RECALL for k results."""
+        order = self.order(vector)
+        if effort is None:
+            return order[: next((n for results, n in sorted(self.needed.items()) if k <= results), len(order))]
         out, held = [], 0
-        for c in map(int, order):
-            if self.sizes.get(c):
-                out.append(c)
-                held += self.sizes[c]
+        for c in order:
+            out.append(c)
+            held += self.sizes[c]
             if held >= effort:
                 break
         return out
 
     def search(self, vector, k: int = 10, effort: int | None = None, where=None, max_distance: float | None = None) -> DataFrame:
         """As search.search, over the candidates of the nearest lists; with a filter four times as many are looked at."""
-        effort = effort or default_effort(k)
+        probed = self.probes(vector, k, effort)
         if where is not None:
-            effort = max(effort, 4 * k) * 4
-        candidates = self.lists.where(F.col("list_id").isin(self.probes(vector, effort)))
+            wide = self.probes(vector, k, max(effort or default_effort(k), 4 * k) * 4)
+            probed = max(probed, wide, key=len)
+        candidates = self.lists.where(F.col("list_id").isin(probed))
         return search(candidates, vector, k, self.metric, where, max_distance)
 
 
     def search_many(self, queries: DataFrame, k: int = 10, effort: int | None = None) -> DataFrame:
         """query_id, rank, id, distance for queries (query_id, vector): each is joined with the lists that it probes."""
-        effort, probing = effort or default_effort(k), replace(self, lists=None)  # tasks can't carry a DataFrame
+        probing = replace(self, lists=None)  # tasks can't carry a DataFrame
 
         @F.pandas_udf("array<int>")
         def lists_of(vectors: pd.Series) -> pd.Series:
-            return vectors.map(lambda v: probing.probes(v, effort))
+            return vectors.map(lambda v: probing.probes(v, k, effort))
 
         asked = queries.select("query_id", as_double("vector").alias("q")).withColumn("list_id", F.explode(lists_of("q")))
         near = asked.join(self.lists.select("list_id", "id", "vector"), "list_id").select("query_id", "id", distance(self.metric, "q", "vector").alias("distance"))
@@ -92,8 +102,33 @@ class IvfIndex:
         return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def _needed(index: IvfIndex) -> dict[int, int]:
+    """Lists to probe for each of RESULTS, so that the mean recall of sampled records, less two standard errors, is RECALL or more.
+
+    Each is asked for its neighbours but itself, which an exact search gives with the lists they are in."""
+    spark = index.lists.sparkSession
+    sample = index.lists.select(F.col("id").alias("query_id"), "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(QUERIES)
+    rows = sample.collect()
+    truth = search_many(index.lists, spark.createDataFrame(rows, sample.schema), max(RESULTS) + 1, index.metric, with_metadata=False)
+    true_lists: dict = {}
+    for q, _, c in truth.where("query_id <> id").join(index.lists.select("id", "list_id"), "id").select("query_id", "rank", "list_id").orderBy("query_id", "rank").collect():
+        true_lists.setdefault(q, []).append(c)
+    places = []
+    for row in rows:
+        place = {c: n for n, c in enumerate(index.order(row["vector"]))}
+        places.append(np.array([place[c] for c in true_lists.get(row["query_id"], [])]))
+    places, most, out = [p for p in places if len(p)], len(index.sizes), {}
+    for results in RESULTS:
+        for n in range(1, most + 1):
+            recalls = np.array([(p[:results] < n).mean() for p in places])
+            if n == most or len(recalls) and recalls.mean() - 2 * recalls.std() / math.sqrt(len(recalls)) >= RECALL:
+                out[results] = n
+                break
+    return out
+
+
 def build_ivf(records: DataFrame, metric: str = "cosine", n_lists: int | None = None, seed: int = 0, path: str | None = None) -> IvfIndex:
-    """Indexes every record; with a path the lists are written there, partitioned by list."""
+    """Indexes every record and measures how many lists to probe; with a path the lists are written there, partitioned by list."""
     metric = parse_metric(metric)
     rows = records.where(F.col("vector").isNotNull())
     total = rows.count()
@@ -119,7 +154,8 @@ def build_ivf(records: DataFrame, metric: str = "cosine", n_lists: int | None =
         lists = records.sparkSession.read.parquet(path)
     else:
         lists = lists.persist()
-    return IvfIndex(lists, centroids, {r[0]: r[1] for r in lists.groupBy("list_id").count().collect()}, metric)
+    index = IvfIndex(lists, centroids, {r[0]: r[1] for r in lists.groupBy("list_id").count().collect()}, metric)
+    return replace(index, needed=_needed(index))
 
 
 def two_stage_search(records: DataFrame, vector, k: int = 10, metric: str = "cosine", effort: int | None = None, where=None, max_distance: float | None = None) -> DataFrame:

@@ -101,6 +101,16 @@ def test_ann_recall(spark):
     assert _recall(two, one) > 0.85
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot_product"])
+def test_ann_recall_by_default(spark, metric):
+    rows = frame(spark, random_rows(3000, 16, 4)).cache()
+    asked = frame(spark, random_rows(60, 16, 77)).select(F.col("id").alias("query_id"), "vector")
+    index = ann.build_ivf(rows, metric)
+    for k in (10, 40):
+        truth = search.search_many(rows, asked, k, metric, with_metadata=False)
+        assert _recall(index.search_many(asked, k), truth) >= 0.9
+
+
 def test_effort():
     assert ann.default_effort(10) == 200 and ann.default_effort(400) == 600
     assert ann.use_exact(1000, 64) and not ann.use_exact(10_000_000, 1)
