@@ -18,7 +18,8 @@ def components(links: DataFrame) -> DataFrame:
         own = labels.select(F.col("id").alias("a"), F.col("label").alias("top"))
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).join(own, "a")
         offers = near.select(F.explode(F.array("a", "top")).alias("id"), "near").groupBy("id").agg(F.min("near").alias("near"))
-        lower = labels.join(offers, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        # Stored, so that Spark can split the partition of a label that many ids have.
+        lower = store(labels.join(offers, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label")), "components-lower")
         jump = lower.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = store(lower.join(jump, "label").select("id", "was", F.least("label", "further").alias("label")), "components-labels")
         labels = new.select("id", "label")

@@ -7,15 +7,20 @@ them. Bands, fixed random choices of registers, are hashed to keys; documents of
 one key are candidates.
 
 Within a key no pairs are made. Every member is paired with the key's smallest
-document, its centre. An estimate of the Jaccard similarity from equal registers,
-corrected for registers that are equal by chance, splits those pairs: dissimilar
-members get a new centre in a second round, similar ones form a family with theirs,
-and what may be a link is confirmed on the full sets. Of a key with dissimilar
-members, all members have finer bands, which pair those of different families
-directly, as one that is similar to a centre may be linked to one that isn't.
-Confirmed links join families into components, and most families are one component
-then. Where one holds several, links between its components are looked for in
-blocks, exactly, by one task for each two blocks of members.
+document, its centre; members that can't be linked to it have another in a second
+round. An estimate of the Jaccard similarity from equal registers, corrected for
+registers that are equal by chance, says which pairs may be links; those are
+confirmed on the full sets, and confirmed links join documents into components.
+
+Linked documents that are not joined by then share a key with several components,
+so only members of such open keys matter further. Documents whose estimate with a
+centre was FAMILY or more form families with it. Of a family with several components
+the members are compared on their full sets, in blocks: those outside its largest
+component with all. A task gets two blocks and returns no more links than join what
+it holds. Members of open keys with several families have finer bands, more and
+longer ones, that miss a link by the same small chance; in those of several
+families members are paired with a centre again, and where three members or more
+have several components still, they are compared in blocks like a family.
 
 Documents with equal sets are one node from the start.
 """
@@ -28,7 +33,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +43,17 @@ from starling.llm.components import components
 REGISTERS, MANTISSA_BITS, EMPTY = 128, 10, -(1 << 15)
 #: Chance, at most, that no band shows a link just at the threshold; bands at most.
 MISS, MOST_BANDS, MOST_FINE_BANDS = 1e-7, 64, 256
-#: Estimates below this are dissimilar; standard errors by which an estimate may lie below the threshold of a link.
-LOOSE, ERRORS = 0.6, 6.5
+#: Standard errors by which an estimate may lie below the threshold of a link.
+ERRORS = 6.5
+#: Estimate that makes a family. It decides where pairs are compared, not whether.
+FAMILY = 0.6
 #: Rounds of centres.
 ROUNDS = 2
-#: Members of a block of a family.
-BLOCK = 256
-#: Ids of documents in families that may be broadcast to pick their texts; beyond, a shuffled join does it.
+#: Members of a block, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 2_048, 600_000
+#: Ids whose texts are wanted that may be broadcast to pick those; beyond, a shuffled join does it.
 SETS_BROADCAST = 1_000_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -173,6 +179,7 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
             ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
             key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, key_lists], ["doc_id", "n_shingles", "digest", "registers", "keys"])
+        _words.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, registers array<smallint>, keys array<long>")
@@ -208,6 +215,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
         for batch in batches:
             sets = [shingle_hashes(x.as_py(), k).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["id", "set"])
+        _words.clear()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(bounded_broadcast(ids, SETS_BROADCAST), "id", "left_semi")
@@ -221,33 +229,46 @@ def _linked(num: int, den: int, both, n, m):
     return den * both >= num * (n + m - both)
 
 
-def cross_links(ids, labels, sets, left, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between different labels among rows; left tells which rows are compared with the others (both may hold, for one block with itself).
+def cross_links(labels: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of labels between which some set of `left` and some set of `right` are linked: no more than it takes to join them.
 
-    Of two labels that a link has joined here, no further link is looked for."""
-    sizes = np.array(list(map(len, sets)))
+    Of pairs with different labels one at least hasn't the commonest label, so only such rows are held against the other side."""
+    sizes, now = np.fromiter(map(len, sets), np.int64, len(sets)), labels.copy()
+    values, counts = np.unique(labels, return_counts=True)
+    rare = labels != values[np.argmax(counts)]
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, owner = np.r_[0, np.cumsum(sizes)[:-1]], {}
-    mark = np.zeros(codes.max() + 1, bool)
-
-    def top(x):
-        while owner.get(x, x) != x:
-            x = owner[x]
-        return x
-
-    out = []
-    for i in np.flatnonzero(left):
-        mark[codes[starts[i] : starts[i] + sizes[i]]] = True
-        both = np.add.reduceat(mark[codes], starts)
-        mark[codes[starts[i] : starts[i] + sizes[i]]] = False
-        for j in np.flatnonzero(_linked(num, den, both, sizes[i], sizes) & (labels != labels[i])):
-            a, b = top(labels[i]), top(labels[j])
-            if a != b:
-                owner[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark, out = np.zeros(len(codes), bool), []
+    for mine, others in ((left, right), (right, left)):
+        for i in np.flatnonzero(mine & rare):
+            near = np.flatnonzero(others & (now != now[i]) & _linked(num, den, np.minimum(sizes, sizes[i]), sizes[i], sizes))
+            if not len(near):
+                continue
+            mark[own[i]] = True
+            both = np.add.reduceat(mark[np.concatenate([own[j] for j in near])], np.r_[0, np.cumsum(sizes[near])[:-1]])
+            mark[own[i]] = False
+            for label in np.unique(now[near[_linked(num, den, both, sizes[i], sizes[near])]]):
+                low, high = sorted((int(label), int(now[i])))
+                out.append((low, high))
+                now[now == high] = low
     return out
 
 
+def _named(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """Rows with the label of their node under this name; it is the node if that has no link."""
+    return rows.join(label.select(F.col("id").alias("node"), F.col("label").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+
+def open_groups(rows: DataFrame, by: str, differ: str, least: int) -> DataFrame:
+    """Of rows with a node, those of groups with several values of `differ` and `least` members at least; of groups of the same members, one's."""
+    mixed = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("size"), F.min(differ).alias("low"), F.max(differ).alias("high"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"),
+    ).where((F.col("size") >= least) & (F.col("low") < F.col("high")))
+    groups = store(mixed.groupBy("size", "sum", "xor").agg(F.min(by).alias(by)).select(by), "dedup-open")
+    return store(rows.join(groups, by), "dedup-members")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: links are den * |both| >= num * |either|.
 
@@ -261,81 +282,102 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     of_set = named.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("registers", "registers"), ("keys", "keys"))])
     nodes = store(of_set, "dedup-nodes")
     big = nodes.where(F.size("keys") > 0)
+
+    # What is joined on a key that many rows share is stored before, so that Spark can split that key's partition.
     banded = big.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = store(banded.join(shared, "key"), "dedup-members")
+    shared = store(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "dedup-shared")
+    members = open_groups(store(banded.join(shared, "key").select("key", "node"), "dedup-members"), "key", "node", 2)
 
     size = F.least("n", "m") * den >= F.greatest("n", "m") * num
     estimate, used = _estimate("r", "s", "n", "m")
     least = F.lit(num / den) - F.lit(ERRORS * math.sqrt(num * (den - num)) / den) / F.sqrt(F.greatest(used, F.lit(1)))
 
     def judge(pairs: DataFrame) -> DataFrame:
-        """(node, centre) with whether they are similar and whether they may be a link."""
+        """(node, centre) with whether they may be a link, and whether they are of one family."""
         one = pairs.join(big.select("node", "n", F.col("registers").alias("r")), "node")
         two = one.join(big.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
-        return two.select("node", "centre", (estimate >= LOOSE).alias("similar"), (size & (estimate >= least)).alias("maybe"))
+        return two.select("node", "centre", (size & (estimate >= least)).alias("maybe"), (estimate >= FAMILY).alias("near"))
 
-    families, parted, every = None, None, members
-    for turn in range(ROUNDS):
-        centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
-        at = store(members.join(centres, "key").where("node <> centre"), "dedup-at-centres")
-        judged = store(judge(at.select("node", "centre").distinct()), "dedup-judged")
-        similar = judged.where("similar or maybe").select(F.col("node").alias("a"), F.col("centre").alias("b"), "maybe")
-        families = similar if families is None else families.unionByName(similar)
-        members = store(at.join(judged.where("not similar and not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node"), "dedup-members")
-        parted = members.select("key").distinct() if parted is None else parted
-    families = store(families.distinct(), "dedup-families")
-    family = components(families)
-    # Two members of a key are in one family if both are similar to its centre. In the other keys any two may be linked, and
-    # passages that many texts share make such keys. Fine bands tell those texts apart, so what they bring together is paired
-    # directly, but for what is in one family already.
-    direct = families.select("a", "b").limit(0)
-    left = store(every.join(parted, "key").select("node").distinct(), "dedup-left")
-    if not left.isEmpty():
-        fine = fine_keys(big.join(left, "node", "left_semi"), num / den).join(family.withColumnRenamed("id", "node"), "node", "left")
-        fine = store(fine.select("key", "node", F.coalesce("label", "node").alias("family")), "dedup-fine")
-        open_keys = fine.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("key")
-        fine = store(fine.join(open_keys, "key"), "dedup-fine")
-        other = fine.select("key", F.col("node").alias("centre"), F.col("family").alias("other"))
-        pairs = fine.join(other, "key").where("centre < node and family <> other").select("node", "centre").distinct()
-        direct = store(judge(pairs).where("maybe").select(F.col("node").alias("a"), F.col("centre").alias("b")), "dedup-direct")
-
-    maybe = families.where("maybe").select("a", "b").union(direct)
-    if families.isEmpty() and direct.isEmpty():
-        found = nodes.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
-    else:
-        within = store(family.select("id").union(direct.select("a")).union(direct.select("b")).distinct(), "dedup-within")
-        sets = full_sets(docs, within, k, id_col, text_col)
-        pairs = maybe.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of (node, centre) that are links, as (a, b)."""
+        one = pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a")
+        two = one.join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
         both = lambda x, y: F.size(F.array_intersect(x, y))
         link = F.exists("x", lambda x: F.exists("y", lambda y: _linked(num, den, both(x, y), F.size(x), F.size(y))))
-        links = store(pairs.where(link).select("a", "b"), "dedup-links")
-        label = components(links)
-        named_family = within.join(family, "id", "left").select("id", F.coalesce("label", "id").alias("family"))
-        at = store(named_family.join(label, "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")), "dedup-at")
-        mixed = at.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        part = F.pmod(F.xxhash64("id"), F.col("blocks"))
-        in_blocks = at.join(mixed.select("family", F.ceil(F.col("size") / BLOCK).alias("blocks")), "family").withColumn("part", part).join(sets, "id")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        doubled = in_blocks.select("id", "label", "family", "part", F.explode("sets").alias("set"), "blocks").select("*", other)
-        doubled = doubled.select("id", "label", "set", "family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            left = (pdf["part"] == pdf["i"]).to_numpy()
-            pairs = cross_links(pdf["id"].to_numpy(), pdf["label"].to_numpy(), [np.asarray(s) for s in pdf["set"]], left, num, den)
-            return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-        crossed = store(doubled.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long"), "dedup-crossed")
+        return store(two.where(link).select("a", "b"), "dedup-links")
+
+    def round_of_centres(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Judged pairs of members and centres; the members that can't be linked to their key's centre."""
+        centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        at = store(members.join(store(centres.select("key", "centre"), "dedup-centres"), "key").where("node <> centre").select("key", "node", "centre"), "dedup-at-centres")
+        judged = store(judge(at.select("node", "centre").distinct()), "dedup-judged")
+        return judged, at.join(judged.where("not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node")
+
+    judged, rest = round_of_centres(members)
+    for _ in range(1, ROUNDS):
+        more, rest = round_of_centres(store(rest, "dedup-members"))
+        judged = judged.union(more)
+    maybe = store(judged.where("maybe").select("node", "centre").distinct(), "dedup-maybe")
+    sets = full_sets(docs, store(_ends(maybe), "dedup-wanted"), k, id_col, text_col)
+    links = confirmed(maybe, sets)
+    label = components(links)
+
+    # Two documents that are linked and not joined share a key of several components. In a key of two, both have been compared.
+    opened = open_groups(_named(members, label, "label"), "key", "label", 3)
+    if not opened.isEmpty():
+        family = components(links.union(judged.where("near").select("node", "centre")))
+        opened = store(_named(opened, family, "family"), "dedup-opened")
+        inside = open_groups(opened.select("family", "node", "label").distinct(), "family", "label", 2)
+        outside = open_groups(opened, "key", "family", 3).select("node", "label", "family").distinct()
+        fine = fine_keys(big.join(outside.select("node"), "node", "left_semi"), num / den)
+        fine = open_groups(store(fine.join(outside, "node"), "dedup-fine"), "key", "family", 2)
+        wanted = store(inside.select(F.col("node").alias("id")).union(fine.select("node")).distinct(), "dedup-wanted")
+        sets = full_sets(docs, wanted, k, id_col, text_col)
+        near = confirmed(round_of_centres(fine.select("key", "node"))[0].where("maybe"), sets)
+        across = open_groups(fine, "key", "family", 3)
+        crossed = _crossed(inside.withColumnRenamed("family", "key"), sets, num, den).union(_crossed(across, sets, num, den))
+        side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+        paired = near.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_label", "a"), F.coalesce("b_label", "b"))
+        crossed = store(crossed.union(paired).distinct(), "dedup-crossed")
         if not crossed.isEmpty():
-            side = lambda c: crossed.join(at.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c)
-            joined = side("a").join(at.select(F.col("id").alias("b"), F.col("label").alias("b_label")), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-            merged = components(joined).select(F.col("id").alias("label"), F.col("label").alias("least"))
-            label = at.join(merged, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
-        found = label
-    node_label = nodes.select("digest", "node").join(found.select(F.col("id").alias("node"), "label"), "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"), "node")
+            merged = components(crossed).select(F.col("id").alias("label"), F.col("label").alias("least"))
+            every = label.union(opened.select("node", "label")).distinct()
+            label = every.join(merged, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    node_label = nodes.select("digest", "node").join(label.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"), "node")
     return _per_row(signed, store(node_label, "dedup-found"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("node").alias("id")).union(pairs.select("centre")).distinct()
+
+
+def _crossed(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of labels that links join, from comparing the members (key, node, label) of each key on their sets, in blocks.
+
+    Members with a key's commonest label are in blocks of their own, which aren't compared with each other."""
+    counted = members.join(sets.select(F.col("id").alias("node"), F.size(F.flatten("sets")).alias("n")), "node").groupBy("key", "label")
+    counted = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK, n / BLOCK_SHINGLES))
+    of_key = counted.groupBy("key").agg(F.max(F.struct("rows", "n", "label")).alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+    of_key = of_key.select("key", F.col("most.label").alias("common"), blocks(F.col("most.rows"), F.col("most.n")).alias("common_blocks"), blocks(F.col("rows") - F.col("most.rows"), F.col("n") - F.col("most.n")).alias("blocks"))
+    rows = store(members.select("key", "node", "label"), "dedup-compared").join(store(of_key, "dedup-blocks"), "key")
+    is_common, of = F.col("label") == F.col("common"), F.xxhash64("node")
+    part = F.when(is_common, F.col("blocks") + F.pmod(of, F.col("common_blocks"))).otherwise(F.pmod(of, F.col("blocks")))
+    last = F.when(is_common, F.col("blocks")).otherwise(F.col("blocks") + F.col("common_blocks")) - 1
+    rows = rows.select("key", "node", "label", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    rows = rows.join(sets.select(F.col("id").alias("node"), F.explode("sets").alias("set")), "node")
+    rows = rows.select("key", "label", "set", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+
+    def compare(table: pa.Table) -> pa.Table:
+        part = table["part"].to_numpy()
+        left, right = part == table["i"][0].as_py(), part == table["j"][0].as_py()
+        sets = [s for c in table["set"].chunks if len(c) for s in np.split(c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())[:-1].cumsum())]
+        found = cross_links(table["label"].to_numpy(), sets, left, right, num, den)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _per_row(signed: DataFrame, found: DataFrame) -> DataFrame:
     """Labels of sets for the rows that hold them."""
     joined = signed.select("doc_id", "n_shingles", "digest").join(found.select("digest", "component_id"), "digest", "left")

@@ -72,6 +72,86 @@ def test_a_large_family(spark, monkeypatch):
     assert got == brute(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("fixed, own", [(30, 17), (60, 20), (40, 8)])
+def test_a_passage_with_own_words(spark, monkeypatch, fixed, own):
+    """Many texts of a fixed passage and words of their own, with links among a few of them and to the bare passage."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    rng = random.Random(fixed)
+    passage = [f"p{n}" for n in range(fixed)]
+    texts = [passage + [f"u{n}x{i}" for i in range(own)] for n in range(150)] + [passage, passage[:-1], passage + ["end"]]
+    for n in range(0, 150, 10):
+        near = list(texts[n])
+        near[rng.randrange(fixed, fixed + own)] = "other"
+        texts += [near, near + ["more"]]
+    rng.shuffle(texts)
+    rows = [(n, " ".join(words)) for n, words in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
+def test_stored_rows_grow_with_a_group(spark, monkeypatch):
+    """Near copies of one text, and four times as many: no table on the way grows with their square."""
+    made, plain = {}, N.store
+
+    def counting(df, tag):
+        out = plain(df, tag)
+        made[tag] = made.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "store", counting)
+    rng, counts = random.Random(9), []
+    base = [f"b{n}" for n in range(120)]
+    for members in (150, 600):
+        rows = []
+        for n in range(members):
+            text = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 2, 3, 6])):
+                text[at] = f"x{n}y{at}"
+            rows.append((n, " ".join(text)))
+        made.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute(rows, 3, 85, 100)
+        counts.append(dict(made))
+    for tag, n in counts[1].items():
+        assert n <= 6 * max(counts[0].get(tag, 0), 150), (tag, n, counts[0].get(tag))
+
+
+def test_cross_links_join_what_is_linked():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.93], rng.integers(0, 1 << 40, 2)]) for _ in range(60)]
+    labels = np.r_[np.zeros(20, np.int64), np.arange(1, 41)]
+    every = np.ones(60, bool)
+    top = {int(x): int(x) for x in labels}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    def joined(pairs):
+        top.update({int(x): int(x) for x in labels})
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        return [find(int(x)) for x in labels]
+
+    true = [(int(labels[i]), int(labels[j])) for i in range(60) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - b)]
+    found = N.cross_links(labels, sets, every, every, 85, 100)
+    assert joined(found) == joined(true) and len(found) < 41 and len({*joined(true)}) > 1
+    half = np.arange(60) < 30
+    parts = [N.cross_links(labels, sets, a, b, 85, 100) for a, b in ((half, half), (half, ~half), (~half, ~half))]
+    assert joined([p for x in parts for p in x]) == joined(true)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{n % 7919}x{n}" for n in range(60_000))
+    rows = [(1, long, "a", 1), (2, long + " end", "b", 2), (3, "one word " * 30_000, "c", 3), (4, "x" * 400_000, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, label long")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()}
+    assert got == brute([r[:2] for r in rows], 3, 85, 100)
+
+
 def test_a_common_passage_links_nothing(spark):
     rng = random.Random(6)
     passage = " ".join(f"p{n}" for n in range(60))
