@@ -4,15 +4,16 @@ A benchmark item leaks into a document if tiles cover enough of the item: runs o
 tokens that both hold, taken longest first, none overlapping another on either
 side. Their order doesn't matter, so passages moved about are caught too.
 
-Running (Karp-Rabin) hashes of every window of SEED tokens of a batch of documents
-are joined with the windows of the items; windows that follow each other on both
-sides join to maximal matches, and of those the longest unmarked one is marked,
-again and again. Items come in blocks of bounded size, each shipped to the tasks.
+Hashes of every window of SEED tokens of a batch of documents are joined with those
+of the items, which gives the pairs that share enough seeds. A pair is tiled by
+running Karp-Rabin: of hashes of all unmarked windows, which come from sums over
+prefixes whatever their length, the greatest length at which both sides share one is
+searched for, such windows are marked, and so on with shorter ones. Items come in
+blocks of bounded size, each shipped to the tasks.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from itertools import repeat
 
@@ -48,38 +49,81 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def tiles(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from the places (in document, in item) of equal windows of `length` tokens: (document, item, tokens) of each tile.
-
-    The longest match goes first, then the earliest in the document, then in the item; what is left of a match that others overlap goes on."""
-    runs, heap = {}, []
-    for d, i in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        key = d - i
-        if key in runs and runs[key][0] + runs[key][2] - length + 1 == d:
-            runs[key][2] += 1
-        else:
-            if key in runs:
-                heap.append(runs[key])
-            runs[key] = [d, i, length]
-    heap = [(-n, d, i) for d, i, n in [*heap, *runs.values()]]
-    heapq.heapify(heap)
-    in_doc, in_item, out = set(), set(), []
-    while heap:
-        n, d, i = heapq.heappop(heap)
-        n = -n
-        free = [k for k in range(n) if d + k not in in_doc and i + k not in in_item]
-        if len(free) == n:
-            in_doc.update(range(d, d + n))
-            in_item.update(range(i, i + n))
-            out.append((d, i, n))
-            continue
-        start = 0
-        for k in range(1, len(free) + 1):
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if k - start >= length:
-                    heapq.heappush(heap, (-(k - start), d + free[start], i + free[start]))
-                start = k
-    return out
+class _Windows:
+    """Hashes of the windows of any length of a sequence, and which windows hold no marked token."""
+
+    def __init__(self, ids: np.ndarray, marked: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
+        self.ids, self.marked, self.inverse = ids, marked, inverse
+        with np.errstate(over="ignore"):
+            self.sums = np.r_[np.uint64(0), np.cumsum((ids + 2).astype(np.uint64) * powers[: len(ids)], dtype=np.uint64)]
+
+    def count(self) -> None:
+        self.marks = np.r_[0, np.cumsum(self.marked)]
+
+    def longest(self) -> int:
+        """Tokens of the longest unmarked run."""
+        at = np.flatnonzero(np.r_[True, self.marked, True])
+        return int(np.diff(at).max()) - 1
+
+    def free(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the unmarked windows, and their hashes."""
+        starts = np.flatnonzero(self.marks[length:] == self.marks[: len(self.marks) - length])
+        with np.errstate(over="ignore"):
+            return starts, (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int, ignore: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two sequences of ids: (document, item, tokens) of each tile of `least` tokens or more.
+
+    The longest match goes first, then the earliest in the document, then in the
+    item; what is left of a match that others overlap goes on. Places of the document
+    that `ignore` marks are part of no tile."""
+    n = max(len(doc), len(item))
+    if not n:
+        return []
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)], dtype=np.uint64)
+        inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+    d = _Windows(doc, np.zeros(len(doc), bool) if ignore is None else ignore.copy(), powers, inverse)
+    i = _Windows(item, np.zeros(len(item), bool), powers, inverse)
+    out, most = [], n
+
+    def shared(length: int) -> np.ndarray:
+        """Unmarked windows of the document whose hash an unmarked one of the item has."""
+        starts, hashes = d.free(length)
+        return starts[np.isin(hashes, i.free(length)[1])]
+
+    while True:
+        d.count()
+        i.count()
+        most = min(most, d.longest(), i.longest())
+        if most < least or not len(shared(least)):
+            return out
+        low = least  # windows are shared at `low`, and not at `high`
+        high, step = most + 1, 1
+        while low + step < high:  # most tiles are short
+            if not len(shared(low + step)):
+                high = low + step
+                break
+            low, step = low + step, 2 * step
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if len(shared(middle)) else (low, middle)
+        places: dict[int, list[int]] = {}
+        for start, h in zip(*(x.tolist() for x in i.free(low))):
+            places.setdefault(h, []).append(start)
+        starts, hashes = d.free(low)
+        held = np.isin(hashes, np.fromiter(places, np.uint64, len(places)))
+        for start, h in zip(starts[held].tolist(), hashes[held].tolist()):
+            if not places[h] or d.marked[start : start + low].any():
+                continue
+            rest = [p for p in places[h] if not i.marked[p : p + low].any()]
+            at = next((p for p in rest if np.array_equal(d.ids[start : start + low], i.ids[p : p + low])), None)
+            places[h] = rest
+            if at is not None:
+                d.marked[start : start + low] = i.marked[at : at + low] = True
+                out.append((start, at, low))
+        most = low - 1
 
 
 class ItemIndex:
@@ -98,11 +142,15 @@ class ItemIndex:
                 ids = np.array([self.word.setdefault(w, len(self.word)) for w in said], dtype=np.int64)
                 h = window_hashes(ids, SEED)
                 hashes.append(h)
-                whose += [(len(self.items), k) for k in range(len(h))]
+                whose += [len(self.items)] * len(h)
                 self.items.append((item_id, ids))
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hashes, self.whose = flat[order], np.array(whose, dtype=np.int64).reshape(-1, 2)[order]
+        flat, whose = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array(whose, dtype=np.int64)
+        # Each hash of an item once, with the number of its windows that have it.
+        order = np.lexsort((whose, flat))
+        flat, whose = flat[order], whose[order]
+        first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (whose[1:] != whose[:-1])][: len(flat)])
+        self.hashes, self.whose, self.windows = flat[first], whose[first], np.diff(np.r_[first, len(flat)])
+        self.own = hashes
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
@@ -124,24 +172,31 @@ class ItemIndex:
         if not len(known) or not len(self.hashes):
             return
         h = window_hashes(flat, SEED)[known]
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        hit = np.flatnonzero(high > low)
+        hit = np.isin(h, self.hashes)
+        known, h = known[hit], h[hit]
         ends = np.cumsum([len(ids) + 1 for _, ids in rows])
-        of_row = np.searchsorted(ends, known[hit], side="right")
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for at, row, a, b in zip(known[hit].tolist(), of_row.tolist(), low[hit].tolist(), high[hit].tolist()):
-            window = flat[at : at + SEED]
-            for item, place in self.whose[a:b].tolist():
-                if np.array_equal(self.items[item][1][place : place + SEED], window):
-                    pairs.setdefault((row, item), []).append((at - (int(ends[row - 1]) if row else 0), place))
-        for (row, item), hits in sorted(pairs.items()):
-            item_id, ids = self.items[item]
-            if len({p + k for _, p in hits for k in range(SEED)}) < self.leak * len(ids):
-                continue  # all windows together cover too little
-            got = tiles(hits, SEED)
-            covered = sum(t[2] for t in got)
-            if covered >= self.leak * len(ids):
-                out[rows[row][0]].append({"item_id": item_id, "n_tokens": len(ids), "covered": covered, "n_tiles": len(got), "longest": max(t[2] for t in got)})
+        of_row = np.searchsorted(ends, known, side="right")
+        for row in np.unique(of_row):
+            a, b = np.searchsorted(of_row, [row, row + 1])
+            start, seeds = int(ends[row - 1]) if row else 0, np.unique(h[a:b])
+            low, high = np.searchsorted(self.hashes, seeds, "left"), np.searchsorted(self.hashes, seeds, "right")
+            at = np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) + np.arange((high - low).sum())
+            windows = np.bincount(self.whose[at], self.windows[at], len(self.items))
+            for item in np.flatnonzero(windows).tolist():
+                item_id, ids = self.items[item]
+                if windows[item] * SEED < self.leak * len(ids):
+                    continue
+                own = np.flatnonzero(np.isin(self.own[item], seeds))
+                if len(np.unique(own[:, None] + np.arange(SEED))) < self.leak * len(ids):
+                    continue  # all windows together cover too little
+                here = known[a:b][np.isin(h[a:b], self.own[item])] - start
+                ignore = np.ones(len(rows[row][1]), bool)
+                for k in range(SEED):
+                    ignore[here + k] = False
+                got = tiles(rows[row][1], ids, SEED, ignore)
+                covered = sum(t[2] for t in got)
+                if covered >= self.leak * len(ids):
+                    out[rows[row][0]].append({"item_id": item_id, "n_tokens": len(ids), "covered": covered, "n_tiles": len(got), "longest": max(t[2] for t in got)})
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str | None]]]:
@@ -177,7 +232,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, id_col
     those named are ignored."""
     found = None
     for block in item_blocks(benchmark, item_col, item_text_col):
-        rows = docs.select(F.col(id_col).alias("doc_id"), leaks_udf(ItemIndex(block, leak))(F.col(text_col)).alias("l")).where(F.size("l") > 0)
+        leaks = leaks_udf(ItemIndex(block, leak)).asNondeterministic()  # else Spark filters by the result first, so searches each text twice
+        rows = docs.select(F.col(id_col).alias("doc_id"), leaks(F.col(text_col)).alias("l"))
         rows = rows.select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.*").withColumn("coverage", F.col("covered") / F.col("n_tokens"))
         found = rows if found is None else found.unionByName(rows)
     if found is None:

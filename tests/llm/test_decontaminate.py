@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from starling.llm import decontaminate as D
 
@@ -27,8 +30,34 @@ def test_tiling_is_greedy():
     rng = random.Random(1)
     for _ in range(300):
         a, b = (rng.choices("abc" if _ % 2 else "abcdefgh", k=rng.randrange(30)) for _i in range(2))
-        hits = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        assert D.tiles(hits, 3) == wise(a, b, 3), (a, b)
+        one, two = (np.array([ord(c) for c in x], dtype=np.int64) for x in (a, b))
+        assert D.tiles(one, two, 3) == wise(a, b, 3), (a, b)
+
+
+def test_finding_is_the_definition():
+    """find, on texts and items of few words, against tiling every pair by the definition."""
+    rng = random.Random(4)
+    for _ in range(40):
+        words = ["aa", "bb", "cc", "dd", "ee", "ff"][: rng.randrange(1, 7)]
+        items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 25)))) for k in range(4)]
+        texts = [" ".join(rng.choices([*words, "zz"], k=rng.randrange(40))) for _ in range(6)] + [items[0][1], None, ""]
+        for text, got in zip(texts, D.ItemIndex(items).find(texts)):
+            want = {}
+            for item, said in items:
+                a, b = (text or "").split(), said.split()
+                found = wise(a, b, D.SEED) if len(b) >= D.SEED else [(0, 0, len(b))] * (a == b)
+                if found and 2 * sum(t[2] for t in found) >= len(b):
+                    want[item] = (sum(t[2] for t in found), len(found), max(t[2] for t in found))
+            assert {g["item_id"]: (g["covered"], g["n_tiles"], g["longest"]) for g in got} == want, (text, items)
+
+
+def test_repetitive_and_long_texts():
+    began = time.process_time()
+    index = D.ItemIndex([(1, "the " * 500), (2, "the cat " * 100), (3, " ".join(f"w{n}" for n in range(60)))])
+    texts = ["the " * 20_000, "the cat " * 10_000, " ".join(f"w{n % 977}" for n in range(200_000)), "x" * 300_000]
+    got = [{g["item_id"]: (g["covered"], g["n_tiles"]) for g in found} for found in index.find(texts)]
+    assert got == [{1: (500, 1)}, {2: (200, 1)}, {3: (60, 1)}, {}]
+    assert time.process_time() - began < 10
 
 
 def test_finding(spark):
