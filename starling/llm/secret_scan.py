@@ -1,6 +1,7 @@
 """Secrets in texts, told apart by how many owners of the corpus carry them.
 
-Detectors find candidate spans in each whole text. The SHA-256 of each
+Detectors find candidate spans in each whole text: the three of the contract, and
+private key blocks, signed web tokens and tokens with a known beginning. The SHA-256 of each
 candidate's value is then counted over the corpus by distinct repositories and
 owners: a value that many owners carry is a copied example (of documentation or
 a licence header, say); one that stays with few owners looks live.
@@ -21,9 +22,18 @@ from starling.llm.common import store
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex")
+BASE_KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-
+# Public formats of key blocks, signed web tokens and tokens with a known beginning.
+MORE = {
+    "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s,:]|-(?!----))+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}",
+    "prefixed": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{20,}|[sr]k_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})",
+}
+MARKS = {"pem": ("PRIVATE KEY-----",), "jwt": ("eyJ",), "prefixed": ("_", "-", "AIza")}
+KINDS = (*BASE_KINDS, *MORE)
+
+_MORE = {kind: re.compile(pattern) for kind, pattern in MORE.items()}
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
 _WORDS = ("pass", "secret", "token", "api")
 
@@ -48,16 +58,19 @@ def find(text: str | None) -> list[tuple[str, int, int, int]]:
         found += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     # A maximal run of hex digits is long enough exactly if {24,} matches from its start.
     found += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
+    for kind, pattern in _MORE.items():
+        if any(mark in text for mark in MARKS[kind]):
+            found += [(kind, m.start(), m.end(), m.start()) for m in pattern.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def scan_text(text: str | None) -> dict:
     found = find(text)
-    spans = ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found)
+    joined = lambda kinds: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found if k in kinds)
     return {
-        **{f"n_{kind}": sum(x[0] == kind for x in found) for kind in KINDS},
-        "base_sha256": hashlib.sha256(spans.encode()).hexdigest(),
-        "spans": spans,
+        **{f"n_{kind}": sum(x[0] == kind for x in found) for kind in BASE_KINDS},
+        "base_sha256": hashlib.sha256(joined(BASE_KINDS).encode()).hexdigest(),
+        "spans": joined(KINDS),
         "found": [{"kind": k, "start": a, "end": b, "value_from": v, "hash": hashlib.sha256(text[v:b].encode("utf-8", "surrogatepass")).hexdigest()} for k, a, b, v in found],
     }
 
@@ -86,7 +99,8 @@ def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = ("doc_id",), copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """A row per row of docs: columns `keep`, counts and spans by kind, and n_live, n_copied, live (the live-looking spans).
+    """A row per row of docs: columns `keep`, counts and spans by kind, and n_live, n_copied, live (kinds and places of
+    the live-looking values) and live_values (the same as kind:start:end by start, comma-joined).
 
     A null or empty text has no spans. A null owner or repository counts as one
     owner or repository of its own. Repeated rows are scanned and returned each.
@@ -106,6 +120,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     return out.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_assign", "n_access", "n_hex", "base_sha256", "spans",
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"), "live",
+        F.coalesce(F.array_join(F.transform("live", lambda x: F.concat_ws(":", x["kind"], x["value_from"], x["end"])), ","), F.lit("")).alias("live_values"),
     )
 
 
@@ -137,8 +152,8 @@ def redact_live(docs: DataFrame, text_col: str = "text", owner_col: str = "sourc
     The corpus is scanned once for the counts and once to mask, so no text is shuffled."""
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("\0null"))
     repo = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repo_cols)]))
-    found = docs.select(owner.alias("owner"), repo.alias("repo"), _scan_udf()(F.col(text_col))["found"].alias("found")).where(F.size("found") > 0)
-    found = found.select("owner", "repo", F.explode("found.hash").alias("hash"))
+    scan = _scan_udf().asNondeterministic()  # else Spark filters by the scan's result first, so scans each text twice
+    found = docs.select(owner.alias("owner"), repo.alias("repo"), scan(F.col(text_col)).alias("s")).select("owner", "repo", F.explode("s.found.hash").alias("hash"))
     copied = store(ownership(found, copied_owners).where("copied").select("hash"), "secrets-copied")
 
     if copied.count() <= COPIED_SHIPPED:
