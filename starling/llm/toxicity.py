@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import held_out, labelled_sample
+from starling.llm.common import held_out, labelled_sample, store
 
-#: Bound of the labelled sample that a lexicon is learned from, and of the terms that are kept.
+#: Bound of the labelled sample that a lexicon is learned from.
 MAX_LABELLED = 12_000
-MAX_TERMS = 4_000
 #: Lengths of the stems that are counted, and what a term must show.
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 LEAST_LLR, LEAST_ODDS = 24.0, 20.0
@@ -177,12 +176,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A lexicon from a bounded sample of labelled rows; without rows of both labels it is the seed lexicon."""
     sample = labelled_sample(docs, labels, label_col, max_labelled, id_col, text_col)
     counts = sample.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = counts.where("term = '' or toxic >= 5 and toxic > clean").orderBy((F.col("term") != ""), (F.col("toxic") - F.col("clean")).desc(), "term").limit(MAX_TERMS + 1).collect()
-    if not best or best[0]["term"] or not best[0]["toxic"] or not best[0]["clean"]:
+    counts = store(counts.where("term = '' or toxic >= 5"), "toxic-terms")
+    texts = counts.where("term = ''").first()
+    if not texts or not texts["toxic"] or not texts["clean"]:
         return Lexicon()
-    n_toxic, n_clean = best[0]["toxic"], best[0]["clean"]
+    n_toxic, n_clean = texts["toxic"], texts["clean"]
+    odds = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    best = counts.where((F.col("term") != "") & (odds >= 0.99 * LEAST_ODDS)).orderBy("term").collect()  # only what choose_terms may keep
     lexicon = Lexicon()
-    lexicon.weights |= choose_terms([tuple(r) for r in best[1:]], n_toxic, n_clean)
+    lexicon.weights |= choose_terms([tuple(r) for r in best], n_toxic, n_clean)
 
     def weighed(batches):
         for batch in batches:

@@ -59,6 +59,32 @@ def test_folding_and_exceptions(text, n):
     assert toxicity.Lexicon().weigh(text)[1] == n
 
 
+def naive(lexicon, text):
+    """Weight and terms of a text by looking for every term at every place."""
+    folded, hits, safe = toxicity.fold(text), {}, set()
+    for start in range(len(folded)):
+        if start and folded[start - 1].isalnum():
+            continue
+        for phrase in lexicon.exceptions:
+            if folded.startswith(phrase, start):
+                safe |= {*range(start, start + len(phrase))}
+        weights = [w for term, w in lexicon.weights.items() if folded.startswith(term, start)]
+        if weights:
+            hits[start] = max(weights)
+    found = [w for start, w in hits.items() if start not in safe]
+    return sum(found), len(found)
+
+
+def test_matching_is_the_naive_search():
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon(weights={t: rng.random() for t in ("ab", "abc", "bca", "cab ca", "aa", "c", "idiot")}, exceptions=("ab c", "aab", "class clown"))
+    for _ in range(500):
+        text = "".join(rng.choices("aabbcc  0@4-é", k=rng.randrange(60))) + rng.choice(["", " class clown", " 1d10t", " idi0ts"])
+        weight, terms, words = lexicon.weigh(text)
+        assert (weight, terms) == (pytest.approx(naive(lexicon, text)[0]), naive(lexicon, text)[1]), text
+        assert words == len(toxicity.fold(text).split())
+
+
 def test_length_matters():
     lexicon = toxicity.Lexicon()
     short, long = lexicon.weigh("you idiot"), lexicon.weigh("you idiot " + "word " * 5000)
