@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encoding a Python worker remembers, in each of two generations; no result depends on it.
-CACHE_WORDS = 300_000
+from starling.llm.common import release
+
+#: Words whose encoding a Python worker remembers within a partition, in each of two generations, and the bytes of the longest one; no result depends on it.
+CACHE_WORDS, LONGEST_WORD = 150_000, 64
 #: Pairs of tokens that a worker remembers, to the same effect.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 
 RESULT_TYPE = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -63,13 +66,13 @@ class Vocabulary:
         self.begins = {b[:n]: -1 for b in ranks for n in range(1, len(b))} | ranks
         self._edges: dict[bytes, tuple] = {}
         self._follows: dict[int, bool] = {}
-        self._made: dict[bytes, bool] = {}
+        self._made: dict[int, bool] = {}
 
-    def made(self, token: bytes) -> bool:
+    def made(self, token: int) -> bool:
         """Whether merging its bytes gives this token; if not, it only stands for a whole piece."""
         known = self._made.get(token)
         if known is None:
-            known = self._made[token] = len(merge_bytes(token, self.ranks)) == 1
+            known = self._made[token] = len(merge_bytes(self.bytes_of[token], self.ranks)) == 1
         return known
 
     def edges(self, token: bytes) -> tuple[list, list]:
@@ -117,7 +120,7 @@ class PrefixTable:
         v, data, last = self.v, self.data, self.last
         for start in range(max(0, end - v.longest), end):
             token = v.ranks.get(data[start:end])
-            if token is not None and (not start or v.follows(last[start - 1], token)) and v.made(data[start:end]):
+            if token is not None and (not start or v.follows(last[start - 1], token)) and v.made(token):
                 return token
         raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
 
@@ -154,15 +157,23 @@ def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
     """The ids of bytes encoded once: the same table, filled forward, which looks at no more bytes than some token has.
 
     A prefix has one valid last token, so the first found is the one."""
-    n, begins, follows = len(data), v.begins, v.follows
+    n, begins, follows, made = len(data), v.begins.get, v._follows.get, v._made.get
     last: list = [None] * (n + 1)
     for start in range(n):
         before = last[start]
+        left = None if before is None else before << 32
         for end in range(start + 1, n + 1):
-            token = begins.get(data[start:end])
+            token = begins(data[start:end])
             if token is None:
                 break
-            if token >= 0 and last[end] is None and (before is None or follows(before, token)) and v.made(data[start:end]):
+            if token < 0 or last[end] is not None:
+                continue
+            if left is not None:
+                known = follows(left | token)
+                if not (v.follows(before, token) if known is None else known):
+                    continue
+            known = made(token)
+            if v.made(token) if known is None else known:
                 last[end] = token
         if last[start + 1] is None:
             raise ValueError(f"the vocabulary has no token for byte {data[start]}")
@@ -182,12 +193,18 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.old.pop(word, None) or self.encode(word)
+        if len(word) > LONGEST_WORD:
+            return ids
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 # The usual splitting pattern, and one for Python's own engine that agrees with it on plain texts.
 # Those hold no white space but spaces and line feeds, nothing beyond the first plane, and no character whose
@@ -258,21 +275,44 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(path), pattern)
 
 
+def _in_partition(path: str, pattern: str, texts, work):
+    """work(encoder, array) for each array of a partition; the words remembered are forgotten at its end, as workers are used again."""
+    e = encoder(path, pattern)
+    try:
+        for text in texts:
+            yield work(e, text)
+    finally:
+        e.words.forget()
+        release()
+
+
+def _packed(rows: list[np.ndarray], mask: pa.Array | None = None) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])), mask=mask)
+
+
 def encode_udf(path: str, pattern: str):
-    """text -> array<int> of token ids; a null text gives null."""
-    @F.arrow_udf("array<int>")
-    def encode(text: pa.Array) -> pa.Array:
-        e, rows = encoder(path, pattern), []
+    """text -> (array<int> of token ids, whether they decode to the text); a null text gives null ids."""
+
+    def work(e: Encoder, text: pa.Array) -> pa.Array:
+        rows, exact = [], []
         for x in text:  # each row's ids are packed at once: lists of a whole batch would take many times the room
-            rows.append(np.array(e.encode(x.as_py() or ""), dtype=np.int32))
-        ends = pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32))
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])), mask=pa.array(text.is_null()))
+            said = x.as_py() or ""
+            ids = e.encode(said)
+            rows.append(np.array(ids, dtype=np.int32))
+            exact.append(e.decode(ids) == said.encode("utf-8", "surrogatepass"))
+        return pa.StructArray.from_arrays([_packed(rows, pa.array(text.is_null())), pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    @F.arrow_udf("ids array<int>, exact boolean")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _in_partition(path, pattern, texts, work)
 
     return encode
 
 
 def decode_udf(path: str, pattern: str):
     """array<int> -> binary; null gives null."""
+
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         e = encoder(path, pattern)
@@ -282,16 +322,18 @@ def decode_udf(path: str, pattern: str):
 
 
 def _digest_udf(path: str, pattern: str):
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    @F.arrow_udf(RESULT_TYPE)
-    def digest(text: pa.Array) -> pa.Array:
-        e = encoder(path, pattern)
-        out = []
+    def work(e: Encoder, text: pa.Array) -> pa.Array:
+        n, of_ids, of_bytes = [], [], []
         for x in text:
             ids = e.encode(x.as_py() or "")
-            out.append((len(ids), hashlib.sha256(e.joined(ids).encode()).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()))
-        return pa.array([dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), r)) for r in out], type=kind)
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(e.joined(ids).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(e.decode(ids)).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    @F.arrow_udf(RESULT_TYPE)
+    def digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _in_partition(path, pattern, texts, work)
 
     return digest
 
