@@ -14,7 +14,31 @@ from pyspark.sql import functions as F
 FOLDS = 5
 
 
+#: Rows of an Arrow batch, at most: texts may be long, and a batch is held as a whole by the JVM and by a worker.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps batches of texts small, unless the session has them smaller still."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def release() -> None:
+    """Gives memory back that a worker no longer uses, as it waits for its next task with all it has."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,11 +62,19 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: a cut of the lineage that lost executors don't undo."""
-    spark = df.sparkSession
+    bound_batches(spark := df.sparkSession)
     df.write.parquet(path := fresh_path(spark, tag))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, or that with as many underscores before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(id_col) -> F.Column:
     """True where labels may not be learned from."""
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0
