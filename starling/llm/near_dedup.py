@@ -14,7 +14,7 @@ confirmed on the full sets, and confirmed links join documents into components.
 
 Linked documents that are not joined by then share a key with several components,
 so only members of such open keys matter further. Documents whose estimate with a
-centre was FAMILY or more form families with it. Of a family with several components
+centre isn't FAMILY below the threshold form families with it. Of a family with several components
 the members are compared on their full sets, in blocks: those outside its largest
 component with all. A task gets two blocks and returns no more links than join what
 it holds. Members of open keys with several families have finer bands, more and
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import bounded_broadcast, store
+from starling.llm.common import bounded_broadcast, release, store
 from starling.llm.components import components
 
 REGISTERS, MANTISSA_BITS, EMPTY = 128, 10, -(1 << 15)
@@ -45,8 +45,8 @@ REGISTERS, MANTISSA_BITS, EMPTY = 128, 10, -(1 << 15)
 MISS, MOST_BANDS, MOST_FINE_BANDS = 1e-7, 64, 256
 #: Standard errors by which an estimate may lie below the threshold of a link.
 ERRORS = 6.5
-#: Estimate that makes a family. It decides where pairs are compared, not whether.
-FAMILY = 0.6
+#: By how much an estimate that makes a family may lie below the threshold of a link. It decides where pairs are compared, not whether.
+FAMILY = 0.25
 #: Rounds of centres.
 ROUNDS = 2
 #: Members of a block, and shingles of all of them, about.
@@ -180,6 +180,7 @@ def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
             key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, key_lists], ["doc_id", "n_shingles", "digest", "registers", "keys"])
         _words.clear()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, registers array<smallint>, keys array<long>")
@@ -216,6 +217,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
             sets = [shingle_hashes(x.as_py(), k).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["id", "set"])
         _words.clear()
+        release()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(bounded_broadcast(ids, SETS_BROADCAST), "id", "left_semi")
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         """(node, centre) with whether they may be a link, and whether they are of one family."""
         one = pairs.join(big.select("node", "n", F.col("registers").alias("r")), "node")
         two = one.join(big.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
-        return two.select("node", "centre", (size & (estimate >= least)).alias("maybe"), (estimate >= FAMILY).alias("near"))
+        return two.select("node", "centre", (size & (estimate >= least)).alias("maybe"), (estimate >= num / den - FAMILY).alias("near"))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of (node, centre) that are links, as (a, b)."""
@@ -307,13 +309,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         return store(two.where(link).select("a", "b"), "dedup-links")
 
     def round_of_centres(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Judged pairs of members and centres; the members that can't be linked to their key's centre."""
-        centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        at = store(members.join(store(centres.select("key", "centre"), "dedup-centres"), "key").where("node <> centre").select("key", "node", "centre"), "dedup-at-centres")
+        """Judged pairs of members (key, node, family) and centres of other families; the members that can't be linked to their key's centre."""
+        centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.min_by("family", "node").alias("its"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        centres = store(centres.select("key", "centre", "its"), "dedup-centres")
+        at = store(members.join(centres, "key").where("family <> its").select("key", "node", "family", "centre"), "dedup-at-centres")
         judged = store(judge(at.select("node", "centre").distinct()), "dedup-judged")
-        return judged, at.join(judged.where("not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node")
+        return judged, at.join(judged.where("not maybe").select("node", "centre"), ["node", "centre"]).select("key", "node", "family")
 
-    judged, rest = round_of_centres(members)
+    judged, rest = round_of_centres(members.withColumn("family", F.col("node")))
     for _ in range(1, ROUNDS):
         more, rest = round_of_centres(store(rest, "dedup-members"))
         judged = judged.union(more)
@@ -333,7 +336,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         fine = open_groups(store(fine.join(outside, "node"), "dedup-fine"), "key", "family", 2)
         wanted = store(inside.select(F.col("node").alias("id")).union(fine.select("node")).distinct(), "dedup-wanted")
         sets = full_sets(docs, wanted, k, id_col, text_col)
-        near = confirmed(round_of_centres(fine.select("key", "node"))[0].where("maybe"), sets)
+        near = confirmed(round_of_centres(fine.select("key", "node", "family"))[0].where("maybe"), sets)
         across = open_groups(fine, "key", "family", 3)
         crossed = _crossed(inside.withColumnRenamed("family", "key"), sets, num, den).union(_crossed(across, sets, num, den))
         side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
