@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from starling.llm.common import release
 
-#: Words whose encoding a Python worker remembers within a partition, in each of two generations, and the bytes of the longest one; no result depends on it.
-CACHE_WORDS, LONGEST_WORD = 150_000, 64
+#: Words whose encoding a Python worker remembers, in each of two generations, and the characters of the longest one; no result depends on it.
+CACHE_WORDS, LONGEST_WORD = 300_000, 64
+#: The same for encode_udf, whose workers go on to other stages: they forget all words at the end of a partition.
+CACHE_WORDS_IN_PARTITION = 150_000
 #: Pairs of tokens that a worker remembers, to the same effect.
 CACHE_PAIRS = 500_000
 
@@ -154,34 +156,43 @@ class PrefixTable:
 
 
 def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
-    """The ids of bytes encoded once: the same table, filled forward, which looks at no more bytes than some token has.
+    """The ids of bytes encoded once: the same table, filled only for the prefixes that longest matches lead to.
 
-    A prefix has one valid last token, so the first found is the one."""
+    A prefix has one valid last token, so however a prefix is reached its entry is
+    right, and one that was reached and couldn't be gone on from needs no second look."""
     n, begins, follows, made = len(data), v.begins.get, v._follows.get, v._made.get
     last: list = [None] * (n + 1)
-    for start in range(n):
-        before = last[start]
-        left = None if before is None else before << 32
-        for end in range(start + 1, n + 1):
-            token = begins(data[start:end])
+    at, left, stack = 0, None, []
+    while at < n:
+        tokens = []
+        for end in range(at + 1, n + 1):
+            token = begins(data[at:end])
             if token is None:
                 break
-            if token < 0 or last[end] is not None:
-                continue
-            if left is not None:
-                known = follows(left | token)
-                if not (v.follows(before, token) if known is None else known):
+            tokens.append(token)
+        while True:
+            while tokens:
+                end = at + len(tokens)
+                token = tokens.pop()
+                if token < 0 or last[end] is not None:
                     continue
-            known = made(token)
-            if v.made(token) if known is None else known:
-                last[end] = token
-        if last[start + 1] is None:
-            raise ValueError(f"the vocabulary has no token for byte {data[start]}")
-    out, at = [], n
-    while at:
-        out.append(last[at])
-        at -= len(v.bytes_of[out[-1]])
-    return out[::-1]
+                if left is not None:
+                    known = follows(left << 32 | token)
+                    if not (v.follows(left, token) if known is None else known):
+                        continue
+                known = made(token)
+                if v.made(token) if known is None else known:
+                    last[end] = token
+                    break
+            else:
+                if not stack:
+                    raise ValueError("the vocabulary has no token for some byte")
+                at, left, tokens = stack.pop()
+                continue
+            break
+        stack.append((at, left, tokens))
+        at, left = end, token
+    return [before for _, before, _ in stack[1:]] + [left] if n else []
 
 
 class _Words(dict):
@@ -275,14 +286,16 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(path), pattern)
 
 
-def _in_partition(path: str, pattern: str, texts, work):
-    """work(encoder, array) for each array of a partition; the words remembered are forgotten at its end, as workers are used again."""
+def _in_partition(path: str, pattern: str, texts, work, words: int, forget: bool):
+    """work(encoder, array) for each array of a partition, remembering so many words, until its end if they are to be forgotten."""
     e = encoder(path, pattern)
+    e.words.limit = words
     try:
         for text in texts:
             yield work(e, text)
     finally:
-        e.words.forget()
+        if forget:
+            e.words.forget()
         release()
 
 
@@ -305,7 +318,7 @@ def encode_udf(path: str, pattern: str):
 
     @F.arrow_udf("ids array<int>, exact boolean")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _in_partition(path, pattern, texts, work)
+        return _in_partition(path, pattern, texts, work, CACHE_WORDS_IN_PARTITION, True)
 
     return encode
 
@@ -333,7 +346,7 @@ def _digest_udf(path: str, pattern: str):
 
     @F.arrow_udf(RESULT_TYPE)
     def digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _in_partition(path, pattern, texts, work)
+        return _in_partition(path, pattern, texts, work, CACHE_WORDS, False)
 
     return digest
 
