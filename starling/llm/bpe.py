@@ -160,10 +160,13 @@ def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
 
     A prefix has one valid last token, so however a prefix is reached its entry is
     right, and one that was reached and couldn't be gone on from needs no second look."""
-    n, begins, follows, made = len(data), v.begins.get, v._follows.get, v._made.get
+    n, begins, whole, follows, made = len(data), v.begins.get, v.ranks.get, v._follows.get, v._made.get
     last: list = [None] * (n + 1)
     at, left, stack = 0, None, []
     while at < n:
+        token = whole(data[at:])  # the rest is often one token
+        if token is not None and left is not None and v.follows(left, token) and v.made(token):
+            return [before for _, before, _ in stack[1:]] + [left, token]
         tokens = []
         for end in range(at + 1, n + 1):
             token = begins(data[at:end])
