@@ -12,6 +12,8 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from starling.operators.search import _where, search, search_many
 SAMPLE = 100_000
 #: Recall that the lists probed by default must reach, over so many sampled queries and for so many results; for more results than the last all lists are probed.
 RECALL, QUERIES, RESULTS = 0.9, 200, (10, 100)
+#: Rows and queries that meet in one task, and distances held at a time.
+CELL_ROWS, CELL_QUERIES, HELD = 20_000, 50_000, 4_000_000
 #: Floats in a collection below which a scan is used.
 EXACT_BELOW = 10_000_000
 
@@ -89,15 +93,42 @@ class IvfIndex:
 
 
     def search_many(self, queries: DataFrame, k: int = 10, effort: int | None = None) -> DataFrame:
-        """query_id, rank, id, distance for queries (query_id, vector): each is joined with the lists that it probes."""
-        probing = replace(self, lists=None)  # tasks can't carry a DataFrame
-
-        @F.pandas_udf("array<int>")
-        def lists_of(vectors: pd.Series) -> pd.Series:
-            return vectors.map(lambda v: probing.probes(v, k, effort))
-
-        asked = queries.select("query_id", as_double("vector").alias("q")).withColumn("list_id", F.explode(lists_of("q")))
-        near = asked.join(self.lists.select("list_id", "id", "vector"), "list_id").select("query_id", "id", distance(self.metric, "q", "vector").alias("distance"))
+        """query_id, rank, id, distance for queries (query_id, vector), ties to the smaller id.
+
+        Queries meet the lists that they probe in cells of bounded size, each one matrix
+        product in a task, of which every query keeps its best k."""
+        probing, metric = replace(self, lists=None), self.metric  # tasks can't carry a DataFrame
+        kinds = [(df.schema[c].dataType.simpleString(), c) for df, c in ((queries, "query_id"), (self.lists, "id"))]
+        row_parts = {c: -(-n // CELL_ROWS) for c, n in self.sizes.items()}
+        query_parts = max(1, -(-queries.count() // CELL_QUERIES))
+
+        @F.pandas_udf("array<struct<list_id: int, part: int>>")
+        def cells_of(vectors: pd.Series) -> pd.Series:
+            return vectors.map(lambda v: [{"list_id": c, "part": p} for c in probing.probes(v, k, effort) for p in range(row_parts[c])])
+
+        asked = queries.select("query_id", as_double("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).alias("query_part"))
+        asked = asked.withColumn("cell", F.explode(cells_of("q"))).select("query_id", "q", "query_part", "cell.*")
+        parts = F.element_at(F.create_map(*[F.lit(x) for pair in row_parts.items() for x in pair]), F.col("list_id")) if row_parts else F.lit(1)
+        rows = self.lists.select("id", as_double("vector").alias("v"), "list_id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+        rows = rows.withColumn("query_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
+
+        def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+            matrix = lambda column, n: column.combine_chunks().flatten().to_numpy().reshape(n, -1)
+            order = pa.compute.sort_indices(right["id"])
+            right, taken, distances = right.take(order), [], []
+            if left.num_rows and right.num_rows and k > 0:
+                q, x = matrix(left["q"], left.num_rows), matrix(right["v"], right.num_rows)
+                step = max(1, HELD // len(x))
+                for at in range(0, len(q), step):
+                    d = distance_matrix(metric, q[at : at + step], x)
+                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    taken.append(np.stack([np.repeat(np.arange(at, at + len(d)), best.shape[1]), best.ravel()]))
+                    distances.append(np.take_along_axis(d, best, 1).ravel())
+            i, j = np.concatenate([np.zeros((2, 0), int), *taken], axis=1).astype(int)
+            return pa.table({"query_id": left["query_id"].take(pa.array(i)), "id": right["id"].take(pa.array(j)), "distance": pa.array(np.concatenate([np.zeros(0), *distances]))})
+
+        cell = ["list_id", "part", "query_part"]
+        near = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(nearest, f"query_id {kinds[0][0]}, id {kinds[1][0]}, distance double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
