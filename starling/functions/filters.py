@@ -160,7 +160,7 @@ class JsonFields:
 
 
 class TypedFields:
-    """Fields that are columns of their own; a null column is an absent key, so predicates on them reach the scan."""
+    """Fields that are columns of their own; a null column is an absent key."""
 
     def __init__(self, columns: dict[str, Column], is_object: Column | None = None):
         self.columns, self.is_object = columns, F.lit(True) if is_object is None else is_object
@@ -194,5 +194,20 @@ def compile_filter(given, fields: JsonFields | TypedFields) -> Column:
     return _all(parts, lambda a, b: a & b) if parts else F.lit(False)
 
 
+def typed_condition(given, fields: TypedFields) -> Column:
+    """For where(): keeps the rows that compile_filter keeps, but is null instead of false where a field is absent, so that it reaches the scan."""
+    f = parse_filter(given)
+    column = fields.columns.get(getattr(f, "key", None))
+    if isinstance(f, (And, Or)) and f.parts:
+        return _all([typed_condition(p, fields) for p in f.parts], (lambda a, b: a & b) if isinstance(f, And) else (lambda a, b: a | b))
+    if column is not None and isinstance(f, Eq) and f.value is not None:
+        return column == F.lit(f.value)
+    if column is not None and isinstance(f, In) and f.values and all(v is not None for v in f.values):
+        return column.isin(list(f.values))
+    if column is not None and isinstance(f, Compare) and float(f.value).is_integer() and abs(f.value) < 1 << 53:
+        return ORDER[f.op](column, F.lit(int(f.value)))
+    return compile_filter(f, fields)
+
+
 def metadata_filter(given, metadata: str | Column = "metadata") -> Column:
     return compile_filter(given, JsonFields(F.col(metadata) if isinstance(metadata, str) else metadata))

@@ -157,7 +157,7 @@ for _name, (_filter, _sql) in FILTERS.items():
 def filter_typed(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     fields = flt.TypedFields({c: F.col(c) for c in ("lang", "source", "n_chars")})
-    return docs.where(flt.compile_filter({"lang": {"$in": ["de", "es"]}, "n_chars": {"$gte": 500}, "source": {"$ne": "src0"}}, fields)).select("doc_id")
+    return docs.where(flt.typed_condition({"lang": {"$in": ["de", "es"]}, "n_chars": {"$gte": 500}, "source": {"$ne": "src0"}}, fields)).select("doc_id")
 
 
 for _name, _filter, _sql in (

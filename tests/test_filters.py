@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.errors import InvalidFilter
+from starling.functions import filters
 from starling.functions.filters import And, Eq, Gt, In, Or, metadata_filter, parse_filter
 
 ROWS = {
@@ -45,3 +46,20 @@ def test_invalid(bad):
 def test_quotes_in_keys(spark):
     df = spark.createDataFrame([(json.dumps({'a"b': 1}),)], "metadata string")
     assert df.where(metadata_filter({'a"b': 1})).count() == 1
+
+
+def test_typed_conditions_reach_the_scan(spark, tmp_path):
+    rows = [(1, "de", 5), (2, "en", 7), (3, None, 9), (4, "de", None), (5, "fr", 3)]
+    spark.createDataFrame(rows, "id long, lang string, n long").write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    fields = filters.TypedFields({"lang": F.col("lang"), "n": F.col("n")})
+    pushed = {"eq": {"lang": "de"}, "in": {"lang": {"$in": ["de", "fr"]}}, "gt": {"n": {"$gt": 4}}, "both": {"lang": "de", "n": {"$lte": 5}}}
+    others = {"ne": {"lang": {"$ne": "de"}}, "half": {"n": {"$gt": 4.5}}, "absent": {"x": 1}, "none": {}}
+    for name, given in (pushed | others).items():
+        kept = df.where(filters.typed_condition(given, fields))
+        assert sorted(r["id"] for r in kept.collect()) == sorted(r["id"] for r in df.where(filters.compile_filter(given, fields)).collect()), name
+        if name in pushed:
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, plan
+    either = Or((Eq("lang", "fr"), Gt("n", 6)))
+    assert sorted(r["id"] for r in df.where(filters.typed_condition(either, fields)).collect()) == [2, 3, 5]

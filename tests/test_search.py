@@ -114,3 +114,15 @@ def test_ann_recall_by_default(spark, metric):
 def test_effort():
     assert ann.default_effort(10) == 200 and ann.default_effort(400) == 600
     assert ann.use_exact(1000, 64) and not ann.use_exact(10_000_000, 1)
+
+
+def test_cells_of_the_index(spark, monkeypatch):
+    """Lists of more rows, and more queries, than a cell holds give what one cell gives."""
+    rows = frame(spark, random_rows(600, 16, 17)).cache()
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    index = ann.build_ivf(rows, "cosine", n_lists=8)
+    plain = sorted(map(tuple, index.search_many(asked, 10).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(ann, "CELL_ROWS", 20)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 250)
+    assert sorted(map(tuple, index.search_many(asked, 10).select("query_id", "rank", "id").collect())) == plain
+    assert index.search_many(asked, 0).count() == 0 and index.search_many(asked.limit(0), 10).count() == 0
