@@ -12,21 +12,17 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starling.functions.distance import as_double, check_vector, distance, distance_matrix, parse_metric
 from starling.functions.quantize import dequantize, parameters, quantize, train
-from starling.operators.search import _where, search, search_many
+from starling.operators.search import CELL_QUERIES, CELL_ROWS, _where, meet, nearest, search, search_many
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 100_000
 #: Recall that the lists probed by default must reach, over so many sampled queries and for so many results; for more results than the last all lists are probed.
 RECALL, QUERIES, RESULTS = 0.9, 200, (10, 100)
-#: Rows and queries that meet in one task, and distances held at a time.
-CELL_ROWS, CELL_QUERIES, HELD = 20_000, 50_000, 4_000_000
 #: Floats in a collection below which a scan is used.
 EXACT_BELOW = 10_000_000
 
@@ -112,23 +108,7 @@ class IvfIndex:
         rows = self.lists.select("id", as_double("vector").alias("v"), "list_id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
         rows = rows.withColumn("query_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
 
-        def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-            matrix = lambda column, n: column.combine_chunks().flatten().to_numpy().reshape(n, -1)
-            order = pa.compute.sort_indices(right["id"])
-            right, taken, distances = right.take(order), [], []
-            if left.num_rows and right.num_rows and k > 0:
-                q, x = matrix(left["q"], left.num_rows), matrix(right["v"], right.num_rows)
-                step = max(1, HELD // len(x))
-                for at in range(0, len(q), step):
-                    d = distance_matrix(metric, q[at : at + step], x)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    taken.append(np.stack([np.repeat(np.arange(at, at + len(d)), best.shape[1]), best.ravel()]))
-                    distances.append(np.take_along_axis(d, best, 1).ravel())
-            i, j = np.concatenate([np.zeros((2, 0), int), *taken], axis=1).astype(int)
-            return pa.table({"query_id": left["query_id"].take(pa.array(i)), "id": right["id"].take(pa.array(j)), "distance": pa.array(np.concatenate([np.zeros(0), *distances]))})
-
-        cell = ["list_id", "part", "query_part"]
-        near = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(nearest, f"query_id {kinds[0][0]}, id {kinds[1][0]}, distance double")
+        near = meet(asked, rows, ["list_id", "part", "query_part"], metric, f"query_id {kinds[0][0]}, id {kinds[1][0]}, distance double", nearest(k))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,35 @@ def test_join_of_nothing(spark):
     assert search.search_many(rows.limit(0), rows.select(F.col("id").alias("query_id"), "vector"), 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_equal_vectors_and_many_queries(spark, monkeypatch, block):
+    """Shipped queries and cells give the same: k rows of equal vectors by id, and all within a distance."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(search, "CELL_ROWS", 100)
+    monkeypatch.setattr(search, "HELD", 3000)
+    rows = frame(spark, [(f"{i:04d}", [1, 1], f"m{i}") for i in range(600)] + [("z", [1, 0], None)]).repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(120)] + [(120, [1.0, 0.0]), (121, None)], "query_id long, vector array<double>")
+    found = {}
+    for r in search.search_many(rows, asked, 3, "l2").orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["id"], r["metadata"]))
+    assert found.pop(120) == [("z", None), ("0000", "m0"), ("0001", "m1")]
+    assert len(found) == 120 and all(f == [("0000", "m0"), ("0001", "m1"), ("0002", "m2")] for f in found.values())
+    assert search.range_join(rows, asked, 0.0, "l2").count() == 120 * 600 + 1
+
+
+def test_best_rows_of_a_task():
+    rng = np.random.default_rng(3)
+    d, ids = rng.integers(0, 30, (20, 400)).astype(float), rng.permutation(400)
+    best = search._Best(20, 7)
+    for at in range(0, 400, 25):
+        part = ids[at : at + 25].argsort() + at
+        i, j = search.nearest(7)(d[:, part])
+        best.add(i, j, d[:, part][i, j], pa.table({"id": ids[part]}))
+    out = pa.Table.from_batches(best.batches(pa.array(range(20)))).to_pylist()
+    want = [(q, int(ids[x]), d[q, x]) for q in range(20) for x in np.lexsort((ids, d[q]))[:7]]
+    assert [(r["query_id"], r["id"], r["distance"]) for r in out] == want
+
+
 def test_range_join_and_duplicates(spark):
     rows = frame(spark, [("a", [1, 0], None), ("b", [1, 0.01], None), ("c", [0, 1], None)])
     pairs = {(r[0], r[1]) for r in search.duplicate_pairs(rows, 0.1).collect()}
