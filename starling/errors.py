@@ -47,3 +47,7 @@ class CollectionExists(StarlingError):
 
 class InvalidCollectionName(StarlingError):
     pass
+
+
+class Conflict(StarlingError):
+    """Another writer changed the collection since it was opened."""

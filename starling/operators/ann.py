@@ -79,14 +79,28 @@ class IvfIndex:
         return out
 
     def search(self, vector, k: int = 10, effort: int | None = None, where=None, max_distance: float | None = None) -> DataFrame:
-        """As search.search, over the candidates of the nearest lists; with a filter four times as many are looked at."""
+        """As search.search, over the candidates of the nearest lists.
+
+        With a filter four times as many are looked at, and all rows if it keeps fewer than k of them."""
         probed = self.probes(vector, k, effort)
         if where is not None:
             wide = self.probes(vector, k, max(effort or default_effort(k), 4 * k) * 4)
             probed = max(probed, wide, key=len)
-        candidates = self.lists.where(F.col("list_id").isin(probed))
-        return search(candidates, vector, k, self.metric, where, max_distance)
-
+        found = search(self.lists.where(F.col("list_id").isin(probed)), vector, k, self.metric, where)
+        if where is not None and len(probed) < len(self.sizes) and found.count() < k:
+            found = search(self.lists, vector, k, self.metric, where)  # the filter keeps too few rows of the lists probed
+        return found if max_distance is None else found.where(F.col("distance") <= max_distance)
+
+    def save(self, path: str) -> None:
+        """Centroids and sizes, a row per list; the lists themselves are their owner's."""
+        rows = [(c, [float(x) for x in centroid], self.sizes.get(c, 0)) for c, centroid in enumerate(self.centroids)]
+        self.lists.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>, rows long").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, path: str, lists: DataFrame, metric: str, needed: dict) -> IvfIndex:
+        """The index that save wrote, over lists; needed as it was, with keys of any kind."""
+        rows = lists.sparkSession.read.parquet(path).orderBy("list_id").collect()
+        return cls(lists, np.array([r["centroid"] for r in rows]), {r["list_id"]: r["rows"] for r in rows if r["rows"]}, metric, {int(k): n for k, n in needed.items()})
 
     def search_many(self, queries: DataFrame, k: int = 10, effort: int | None = None) -> DataFrame:
         """query_id, rank, id, distance for queries (query_id, vector), ties to the smaller id.
@@ -138,43 +152,68 @@ def _needed(index: IvfIndex) -> dict[int, int]:
     return out
 
 
-def build_ivf(records: DataFrame, metric: str = "cosine", n_lists: int | None = None, seed: int = 0, path: str | None = None) -> IvfIndex:
-    """Indexes every record and measures how many lists to probe; with a path the lists are written there, partitioned by list."""
-    metric = parse_metric(metric)
+def fit(records: DataFrame, metric: str = "cosine", n_lists: int | None = None, seed: int = 0) -> np.ndarray:
+    """Centroids of n_lists lists, the root of the number of rows by default, from SAMPLE rows at most; none without rows."""
     rows = records.where(F.col("vector").isNotNull())
     total = rows.count()
-    taken = rows.select(as_double("vector").alias("v")) if total <= SAMPLE else rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select(as_double("vector").alias("v"))
-    x = np.array([r[0] for r in taken.collect()], dtype=np.float64)
+    taken = rows if total <= SAMPLE else rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    x = np.array([r[0] for r in taken.select(as_double("vector")).collect()], dtype=np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
     if metric == "cosine":
         x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None]
-    n_lists = min(n_lists or max(1, int(math.sqrt(total))), len(x)) if len(x) else 0
-    if not n_lists:
-        return IvfIndex(records.withColumn("list_id", F.lit(0)), np.zeros((1, 1)), {}, metric)
-    centroids = _kmeans(x, n_lists, seed)
+    return _kmeans(x, min(n_lists or max(1, int(math.sqrt(total))), len(x)), seed)
+
+
+def list_of(centroids: np.ndarray, metric: str):
+    """A function of a vector's column: the number of its list."""
 
     @F.pandas_udf("int")
-    def assign(vectors):
+    def assign(vectors: pd.Series) -> pd.Series:
         v = np.array(vectors.tolist(), dtype=np.float64)
         if metric == "cosine":
             v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-30)[:, None]
         return pd.Series(distance_matrix("euclidean", v, centroids).argmin(1).astype("int32"))
 
-    lists = rows.withColumn("list_id", assign("vector"))
+    return assign
+
+
+def over_lists(lists: DataFrame, centroids: np.ndarray, metric: str, needed: dict[int, int] | None = None) -> IvfIndex:
+    """An index over records with list_id; how many lists to probe is measured unless it is given."""
+    index = IvfIndex(lists, centroids, {r[0]: r[1] for r in lists.groupBy("list_id").count().collect()}, metric, needed or {})
+    return index if needed or not index.sizes else replace(index, needed=_needed(index))
+
+
+def by_list(lists: DataFrame) -> DataFrame:
+    """Laid out by list, in files of the session's advisory size: a list much larger than others is split."""
+    return lists.hint("rebalance", F.col("list_id")).sortWithinPartitions("list_id", "id")
+
+
+def build_ivf(records: DataFrame, metric: str = "cosine", n_lists: int | None = None, seed: int = 0, path: str | None = None) -> IvfIndex:
+    """Indexes every record and measures how many lists to probe; with a path the lists are written there, partitioned by list."""
+    metric = parse_metric(metric)
+    rows = records.where(F.col("vector").isNotNull())
+    centroids = fit(rows, metric, n_lists, seed)
+    if not len(centroids):
+        return IvfIndex(rows.withColumn("list_id", F.lit(0)), np.zeros((1, 1)), {}, metric)
+    lists = rows.withColumn("list_id", list_of(centroids, metric)("vector"))
     if path:
-        lists.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        by_list(lists).write.mode("overwrite").partitionBy("list_id").parquet(path)
         lists = records.sparkSession.read.parquet(path)
     else:
         lists = lists.persist()
-    index = IvfIndex(lists, centroids, {r[0]: r[1] for r in lists.groupBy("list_id").count().collect()}, metric)
-    return replace(index, needed=_needed(index))
+    return over_lists(lists, centroids, metric)
+
 
+def two_stage_search(records: DataFrame, vector, k: int = 10, metric: str = "cosine", effort: int | None = None, where=None, max_distance: float | None = None, sq8: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """Ranks by distance to the eight-bit form of each vector, then the best `effort` by their full vectors.
 
-def two_stage_search(records: DataFrame, vector, k: int = 10, metric: str = "cosine", effort: int | None = None, where=None, max_distance: float | None = None) -> DataFrame:
-    """Ranks by distance to the eight-bit form of each vector, then the best `effort` by their full vectors."""
-    low, scale = parameters(train(records))
+    sq8 has lows and scales, or they are trained on records; codes are taken from a column `codes` if sq8 is given and there is one."""
+    low, scale = sq8 or parameters(train(records))
     if not low:
         return search(records, vector, k, metric, where, max_distance)
-    rough = records.withColumn("full", F.col("vector")).withColumn("vector", dequantize(quantize("vector", low, scale), low, scale))
+    codes = F.col("codes") if sq8 and "codes" in records.columns else quantize("vector", low, scale)
     query = F.array(*[F.lit(x) for x in check_vector(vector)])
-    kept = _where(rough, where).withColumn("rough", distance(metric, "vector", query)).orderBy("rough", "id").limit(effort or default_effort(k))
-    return search(kept.select("id", F.col("full").alias("vector"), "metadata"), vector, k, metric, None, max_distance)
+    rough = _where(records, where).withColumn("rough", distance(metric, dequantize(codes, low, scale), query))
+    kept = rough.orderBy("rough", "id").limit(max(k, effort or default_effort(k)))
+    return search(kept.select("id", "vector", "metadata"), vector, k, metric, None, max_distance)

@@ -7,6 +7,8 @@ without a document. Distances are rounded to six places.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +18,10 @@ from starling.functions import filters as flt
 from starling.functions.distance import distance, norm
 from starling.functions.quantize import dequantize, parameters, quantize, train
 from starling.operators import ann, search as searching
-from starling.sources.oplog import fold, latest
+from starling.sources.collection import Client, Collection
+from starling.sources.files import shared_dir
+from starling.sources.http import Api
+from starling.sources.oplog import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +49,30 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), metadata.alias("metadata"), "vec_id")
 
 
+def _fresh(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, metric: str = "cosine") -> Collection:
+    """A new collection of rows, if given, with vectors as long as the table's."""
+    made = Collection.in_memory(spark, len(_vector_of(spark, sf_dir, 3)), metric)
+    if rows is not None:
+        made.add_many(rows.select("id", "vector", "metadata"))
+    return made
+
+
+_KEPT: dict[tuple[str, str], Collection] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> Collection:
+    """The collection of all records, saved once in a session for the queries that only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = _fresh(spark, sf_dir, records(spark, sf_dir))
+        _KEPT[key].save()
+    return Collection.open(spark, _KEPT[key].path)
+
+
+def _total() -> Column:
+    return F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total")
+
+
 def _places(c: Column | str) -> Column:
     return (F.round(c, 6) + F.lit(0.0)).alias("distance")
 
@@ -195,34 +224,34 @@ def knn_join_filtered(spark, sf_dir):
 
 @query("count_all", "SELECT count(*) AS n FROM embeddings")
 def count_all(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(len(_kept(spark, sf_dir)),)], "n long")
 
 
 @query("count_filtered", f"{R} SELECT count(*) AS n FROM r WHERE has AND lang = 'en'")
 def count_filtered(spark, sf_dir):
-    return records(spark, sf_dir).where(flt.metadata_filter({"lang": "en"})).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_kept(spark, sf_dir).count({"lang": "en"}),)], "n long")
 
 
 @query("count_and_mixed", f"{R} SELECT count(*) AS n FROM r WHERE has AND lang = 'en' AND n_chars > 1500")
 def count_and_mixed(spark, sf_dir):
-    return records(spark, sf_dir).where(flt.metadata_filter({"lang": "en", "n_chars": {"$gt": 1500}})).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_kept(spark, sf_dir).count({"lang": "en", "n_chars": {"$gt": 1500}}),)], "n long")
 
 
 @query("get_by_id", f"{R} SELECT id, label, lang, source, n_chars, round(list_sum(v), 6) AS total FROM r WHERE vec_id = 17")
 def get_by_id(spark, sf_dir):
-    row = records(spark, sf_dir).where(F.col("vec_id") == 17)
-    m = F.from_json("metadata", "label long, lang string, source string, n_chars long")
-    return row.select("id", m.alias("m"), F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total")).select("id", "m.*", "total")
+    vector, m = _kept(spark, sf_dir).get("17")
+    row = ("17", m["label"], m["lang"], m["source"], m["n_chars"], round(sum(vector), 6))
+    return spark.createDataFrame([row], "id string, label long, lang string, source string, n_chars long, total double")
 
 
 @query("contains_many", f"{R} SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id::VARCHAR IN (SELECT id FROM r)")
 def contains_many(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id")).join(vectors(spark, sf_dir).select("id"), "id", "left_semi")
+    return _kept(spark, sf_dir).contains_many(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id")))
 
 
 @query("ids", f"{R} SELECT id FROM r")
 def ids(spark, sf_dir):
-    return vectors(spark, sf_dir).select("id")
+    return _kept(spark, sf_dir).ids()
 
 
 SQ8 = """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
@@ -285,30 +314,119 @@ def update_partial(spark, sf_dir):
 
 @query("upsert_latest", "SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def upsert_latest(spark, sf_dir):
-    return latest(_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), "event_id", "event_type"), "event_id").select("id", "event_type")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.array(F.lit(0.0)).alias("vector"), F.col("event_type").alias("metadata"), "event_id")
+    made = Collection.in_memory(spark, 1)
+    made.upsert_many(events, order_col="event_id")
+    return made.records().select("id", F.col("metadata").alias("event_type"))
 
 
 @query("delete_anti", "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def delete_anti(spark, sf_dir):
-    gone = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    return vectors(spark, sf_dir).select("id").join(gone, "id", "left_anti")
+    made = _fresh(spark, sf_dir, vectors(spark, sf_dir))
+    made.delete_many(_table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")))
+    return made.ids()
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.from_json("metadata", "label long, lang string").alias("m"), _total()).select("id", "m.*", "total")
 
 
-@query("import_export_roundtrip", f"{R} SELECT id, label, lang, round(list_sum(v), 5) AS total FROM r")
+FIELDS = f"{R} SELECT id, CASE WHEN has THEN label END AS label, lang, round(list_sum(v), 5) AS total FROM r"
+
+
+@query("import_export_roundtrip", FIELDS)
 def import_export_roundtrip(spark, sf_dir):
-    """Each record through its JSON form and back."""
-    rows = records(spark, sf_dir).select("id", "vector", F.try_parse_json("metadata").alias("metadata"), F.col("vec_id"))
-    line = F.to_json(F.struct("id", "vector", "metadata"))
-    back = rows.select(F.from_json(line, "id string, vector array<float>, metadata struct<label: long, lang: string>").alias("r")).select("r.*")
-    label = F.coalesce("metadata.label", F.lit(None).cast("long"))
-    out = back.select("id", label.alias("label"), "metadata.lang", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
-    plain = vectors(spark, sf_dir).select("id", F.col("label").cast("long").alias("own"))
-    return out.join(plain, "id").select("id", F.coalesce("label", "own").alias("label"), "lang", "total")
+    """Each record through lines of JSON into another collection."""
+    made, path = _fresh(spark, sf_dir), f"{shared_dir(spark)}/lines-{uuid.uuid4().hex[:12]}"
+    _kept(spark, sf_dir).export_jsonl(path)
+    made.import_jsonl(path)
+    return _fields(made.records())
+
+
+@query("json_document_roundtrip", FIELDS)
+def json_document_roundtrip(spark, sf_dir):
+    """The collection as one document in a file, read into a new collection."""
+    kept, name = _kept(spark, sf_dir), f"document-{uuid.uuid4().hex[:8]}.json"
+    kept.files.write_new(name, kept.export_json())
+    made = Collection.import_file(spark, f"{shared_dir(spark)}/copy-{uuid.uuid4().hex[:12]}", f"{kept.path}/{name}")
+    return _fields(made.records())
+
+
+LIFE = """SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 10 = 0 THEN NULL WHEN vec_id = 7 THEN '{"v":2}' WHEN vec_id % 3 = 0 THEN '{"v":1}' ELSE '{"label":' || label || '}' END AS metadata,
+    round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE vec_id % 10 = 0 OR ((vec_id % 4 <> 0 OR vec_id % 3 = 0) AND vec_id % 5 <> 0)"""
+
+
+def _lived(spark: SparkSession, sf_dir: str) -> Collection:
+    """Adds, upserts, deletes, updates, compacts, upserts again, each for ids of some remainders."""
+    rows = vectors(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label")))
+    made = _fresh(spark, sf_dir, rows.where("vec_id % 4 <> 0"))
+    made.upsert_many(rows.where("vec_id % 3 = 0").select("id", "vector", F.lit('{"v":1}').alias("metadata")))
+    made.delete_many(rows.where("vec_id % 5 = 0").select("id"))
+    made.update("7", metadata='{"v":2}')
+    made.compact()
+    made.upsert_many(rows.where("vec_id % 10 = 0").select("id", "vector"))
+    return made
+
+
+@query("collection_life", LIFE)
+def collection_life(spark, sf_dir):
+    return _lived(spark, sf_dir).records().select("id", "metadata", _total())
+
+
+@query("collection_reopened", LIFE)
+def collection_reopened(spark, sf_dir):
+    """The same from a snapshot, with an index and codes, opened again."""
+    made = _lived(spark, sf_dir)
+    made.save()
+    made.build_index()
+    made.enable_quantized_search()
+    return Collection.open(spark, made.path).records().select("id", "metadata", _total())
+
+
+@query("index_recall", "SELECT count(*) AS n, true AS reached FROM embeddings")
+def index_recall(spark, sf_dir):
+    """Whether the mean recall at 10 of a stored index, of a fifth of whose rows only the log knows, is 0.9 or more with every vector as a query."""
+    rows = vectors(spark, sf_dir)
+    made = _fresh(spark, sf_dir, rows.where("vec_id % 5 <> 0"))
+    made.build_index()
+    made.add_many(rows.where("vec_id % 5 = 0").select("id", "vector", "metadata"))
+    opened, asked = Collection.open(spark, made.path), rows.select(F.col("id").alias("query_id"), "vector")
+    found = opened.search_many(asked, 10, exact=False)
+    each = searching.recall(found, opened.search_many(asked, 10, exact=True))
+    return each.agg(F.count(F.lit(1)).alias("n"), (F.avg("recall") >= ann.RECALL).alias("reached"))
+
+
+@query("index_complete", f"""{R}, d AS (SELECT r.id, list_cosine_distance(r.v, q.v) AS d FROM r, (SELECT v FROM r WHERE vec_id = 3) q WHERE has AND lang = 'en')
+    SELECT id, round(d, 6) + 0.0 AS distance FROM d ORDER BY d, id LIMIT 1000000""")
+def index_complete(spark, sf_dir):
+    """A filtered search through an index for more rows than there are: all that match."""
+    made = _fresh(spark, sf_dir, records(spark, sf_dir))
+    made.build_index()
+    return made.search(_vector_of(spark, sf_dir, 3), 1_000_000, where_filter={"lang": "en"}, exact=False).select("id", _places("distance"))
+
+
+@query("sq8_stored_topk", ORACLES["sq8_two_stage_topk"])
+def sq8_stored_topk(spark, sf_dir):
+    """Two stages over the codes of a snapshot that was opened again."""
+    made = _fresh(spark, sf_dir, vectors(spark, sf_dir))
+    made.enable_quantized_search()
+    return Collection.open(spark, made.path).search(_vector_of(spark, sf_dir, 3), 10, ef_search=200).select("id", _places("distance"))
+
+
+@query("http_search", ORACLES["knn_filtered"])
+def http_search(spark, sf_dir):
+    """The filtered search as the server's route answers it."""
+    kept = _kept(spark, sf_dir)
+    root, name = kept.path.rsplit("/", 1)
+    body = {"vector": _vector_of(spark, sf_dir, 3), "k": 10, "filter": {"lang": "en"}}
+    _, found = Api(Client(spark, root)).handle("POST", f"/collections/{name}/search", json.dumps(body).encode())
+    return spark.createDataFrame([(r["id"], r["distance"]) for r in found], "id string, distance double").select("id", _places("distance"))
 
 
 @query("stats_basic", "SELECT count(*) AS num_vectors, sum(len(embedding) * 4)::BIGINT AS vector_bytes, max(len(embedding))::INTEGER AS dim FROM embeddings")
 def stats_basic(spark, sf_dir):
-    return vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("num_vectors"), F.sum(F.size("vector") * 4).alias("vector_bytes"), F.max(F.size("vector")).alias("dim"))
+    stats = _kept(spark, sf_dir).stats()
+    return spark.createDataFrame([(stats["num_vectors"], stats["vector_bytes"], stats["dim"])], "num_vectors long, vector_bytes long, dim int")
 
 
 @query("recall_ivf")

@@ -1,8 +1,13 @@
 """Collections of records on shared storage, and a client for several of them.
 
-A collection is a folder: manifest.json names the snapshot (a Parquet folder) and
-the log segments after it. Every change writes a new segment and then replaces the
-manifest, so readers see all of a change or nothing. One writer at a time.
+A collection is a folder: manifest-<version>.json, of which the last counts, names
+the snapshot (a Parquet folder), the log segments after it and, if there is an index,
+its table of centroids. Every change writes a new segment and then the next manifest,
+so readers see all of a change or nothing, and a writer that lost a race gets a
+Conflict. What a snapshot replaces is deleted when the next one is written.
+
+A snapshot is sorted by id, or laid out by list where the collection has an index; it
+holds norms, and eight-bit codes where quantized search is on.
 """
 
 from __future__ import annotations
@@ -19,20 +24,32 @@ from starling.functions.distance import check_vector, norm, parse_metric
 from starling.functions.filters import metadata_filter
 from starling.functions.quantize import parameters, quantize, train
 from starling.operators import ann, search as searching
-from starling.sources.files import Files
-from starling.sources.json_io import records_to_json, rows_of_document
+from starling.sources.files import Files, shared_dir
+from starling.sources.json_io import read_document, read_head, read_lines, records_to_json, rows_of_document
 from starling.sources.oplog import LOG, RECORD, fold
 
 #: update() leaves a field alone that it isn't given.
 KEEP = object()
 #: Segments after which a change folds the log into a new snapshot.
 FOLD_AFTER = 64
+#: Manifests that are left behind the last one, for readers that are about to open one.
+MANIFESTS = 8
+#: An index is made anew when the collection has grown by this factor.
+GROWN = 2
 
 
 def _json(metadata) -> str | None:
     return None if metadata is None else metadata if isinstance(metadata, str) else json.dumps(metadata)
 
 
+def _manifest_name(version: int) -> str:
+    return f"manifest-{version:012d}.json"
+
+
+def _last_manifest(files: Files) -> str | None:
+    return max((n for n in files.names() if re.fullmatch(r"manifest-\d{12}\.json", n)), default=None)
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, manifest: dict):
         self.spark, self.path, self.manifest, self.files = spark, path.rstrip("/"), manifest, Files(spark, path)
@@ -45,31 +62,43 @@ class Collection:
             raise errors.InvalidVector("dim must be at least 1")
         metric = parse_metric(metric)
         files = Files(spark, path)
-        if files.exists("manifest.json"):
+        if _last_manifest(files):
             raise errors.CollectionExists(path)
         files.make()
-        made = cls(spark, path, {"version": 1, "dim": dim, "metric": metric, "quantized": quantized, "snapshot": None, "segments": [], "next_seq": 0, "deleted": 0})
+        made = cls(spark, path, {"version": 0, "dim": dim, "metric": metric, "quantized": quantized, "sq8": None, "index": None, "snapshot": None, "segments": [], "next_seq": 0, "deleted": 0, "old": []})
         made._commit()
         return made
 
+    @classmethod
+    def in_memory(cls, spark: SparkSession, dim: int, metric: str = "cosine", quantized: bool = False) -> Collection:
+        """A collection without a name, below the folder that executors share; drop() ends it."""
+        return cls.create(spark, f"{shared_dir(spark)}/collection-{uuid.uuid4().hex[:12]}", dim, metric, quantized)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Collection:
         files = Files(spark, path)
-        if not files.exists("manifest.json"):
+        name = _last_manifest(files)
+        if not name:
             raise errors.DatabaseNotFound(path)
         try:
-            return cls(spark, path, files.read_json("manifest.json"))
+            return cls(spark, path, files.read_json(name))
         except ValueError as e:
-            raise errors.CorruptData(f"{path}/manifest.json: {e}") from e
+            raise errors.CorruptData(f"{path}/{name}: {e}") from e
+
+    def drop(self) -> None:
+        self.files.delete()
 
     @classmethod
     def open_or_create(cls, spark: SparkSession, path: str, dim: int, metric: str = "cosine", quantized: bool = False) -> Collection:
         """An existing collection keeps its own dimension and metric."""
-        return cls.open(spark, path) if Files(spark, path).exists("manifest.json") else cls.create(spark, path, dim, metric, quantized)
+        return cls.open(spark, path) if _last_manifest(Files(spark, path)) else cls.create(spark, path, dim, metric, quantized)
 
     def _commit(self, **changes) -> None:
-        self.manifest = self.manifest | changes
-        self.files.write_text("manifest.json", json.dumps(self.manifest))
+        after = self.manifest | changes | {"version": self.manifest["version"] + 1}
+        if not self.files.write_new(_manifest_name(after["version"]), json.dumps(after)):
+            raise errors.Conflict(f"{self.path} was changed by another writer; open it again")
+        self.manifest = after
+        self.files.delete(_manifest_name(after["version"] - MANIFESTS))
 
     # State
 
@@ -81,9 +110,23 @@ class Collection:
     def metric(self) -> str:
         return self.manifest["metric"]
 
-    def _snapshot(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
+        """The snapshot with all its columns: id, vector, metadata, norm and, where it has them, codes and list_id."""
+        schema = f"{RECORD}, norm double" + (", codes array<smallint>" if self.manifest["sq8"] else "") + (", list_id int" if self.manifest["index"] else "")
         name = self.manifest["snapshot"]
-        return self.spark.read.parquet(f"{self.path}/{name}").select("id", "vector", "metadata") if name else self.spark.createDataFrame([], RECORD)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
+
+    def _snapshot(self) -> DataFrame:
+        return self._stored().select("id", "vector", "metadata")
+
+    def _with(self, column: str, of_vector) -> DataFrame:
+        """Live records with a column that the snapshot has; of_vector computes it for those that the log touched."""
+        stored = self._stored().select("id", "vector", "metadata", column)
+        if not self.manifest["segments"]:
+            return stored
+        touched = self.log().select("id").distinct()
+        changed = fold(stored.join(touched, "id", "left_semi"), self.log())
+        return stored.join(touched, "id", "left_anti").unionByName(changed.withColumn(column, of_vector(F.col("vector"))))
 
     def log(self) -> DataFrame:
         segments = self.manifest["segments"]
@@ -124,23 +167,59 @@ class Collection:
     def __contains__(self, id: str) -> bool:
         return self.contains(id)
 
-    def search(self, vector, k: int = 10, ef_search: int | None = None, where_filter=None, max_distance: float | None = None) -> DataFrame:
-        """id, distance, metadata; exact, but in two stages where quantized search is on."""
+    def search(self, vector, k: int = 10, ef_search: int | None = None, where_filter=None, max_distance: float | None = None, exact: bool | None = None) -> DataFrame:
+        """id, distance, metadata.
+
+        In two stages where quantized search is on. Else through the index, if there is
+        one and ann.use_exact doesn't call the collection small enough to scan; `exact`
+        decides that for one search."""
         vector = check_vector(vector, self.dim)
-        if self.manifest["quantized"]:
-            return ann.two_stage_search(self.records(), vector, k, self.metric, ef_search, where_filter, max_distance)
+        if self.manifest["quantized"] and not exact:
+            return ann.two_stage_search(self._coded(), vector, k, self.metric, ef_search, where_filter, max_distance, self._sq8())
+        if self._uses_index(exact):
+            return self.opened_index().search(vector, k, ef_search, None if where_filter is None else metadata_filter(where_filter), max_distance)
         return searching.search(self.records(), vector, k, self.metric, where_filter, max_distance)
 
-    def search_many(self, vectors, k: int = 10, ef_search: int | None = None, where_filter=None, max_distance: float | None = None) -> DataFrame:
-        """query_id (place in vectors, from 0), rank, id, distance, metadata; vectors may be a DataFrame (query_id, vector)."""
+    def search_many(self, vectors, k: int = 10, ef_search: int | None = None, where_filter=None, max_distance: float | None = None, exact: bool | None = None) -> DataFrame:
+        """query_id (place in vectors, from 0), rank, id, distance, metadata; vectors may be a DataFrame (query_id, vector).
+
+        Through the index as search, but not with a filter."""
         if not isinstance(vectors, DataFrame):
             rows = [(i, check_vector(v, self.dim)) for i, v in enumerate(vectors)]
             vectors = self.spark.createDataFrame(rows, "query_id long, vector array<double>")
-        return searching.search_many(self.records(), vectors, k, self.metric, where_filter, max_distance)
+        if where_filter is not None or not self._uses_index(exact):
+            return searching.search_many(self.records(), vectors, k, self.metric, where_filter, max_distance)
+        found = self.opened_index().search_many(vectors, k, ef_search)
+        if max_distance is not None:
+            found = found.where(F.col("distance") <= max_distance)
+        return found.join(self.records().select("id", "metadata"), "id").select("query_id", "rank", "id", "distance", "metadata")
+
+    # Index
 
-    def index(self, n_lists: int | None = None, seed: int = 0) -> ann.IvfIndex:
-        """An inverted-file index of the present records, written below the collection."""
-        return ann.build_ivf(self.records(), self.metric, n_lists, seed, f"{self.path}/ivf-{uuid.uuid4().hex[:8]}")
+    def _uses_index(self, exact: bool | None) -> bool:
+        index = self.manifest["index"]
+        return bool(index) and (not ann.use_exact(index["rows"], self.dim) if exact is None else not exact)
+
+    def build_index(self, n_lists: int | None = None, seed: int = 0) -> None:
+        """Lays the snapshot out by the lists of an inverted file, and measures how many lists to probe.
+
+        From then on every save keeps it up to date, and searches see what the log holds."""
+        if not self.is_empty():
+            self._fold(centroids=ann.fit(self.records(), self.metric, n_lists, seed))
+
+    def drop_index(self) -> None:
+        if self.manifest["index"]:
+            self._fold(keep_index=False)
+
+    def opened_index(self) -> ann.IvfIndex:
+        """The stored index over live records, those that the log holds included."""
+        stored = self.manifest["index"]
+        if not stored:
+            raise errors.NotFound("index")
+        index = ann.IvfIndex.load(f"{self.path}/{stored['table']}", self._stored(), self.metric, stored["needed"])
+        if not self.manifest["segments"]:
+            return index
+        return ann.over_lists(self._with("list_id", ann.list_of(index.centroids, self.metric)), index.centroids, self.metric, index.needed)
 
     # Writing
 
@@ -196,10 +275,16 @@ class Collection:
     def upsert(self, id: str, vector, metadata=None) -> None:
         self.upsert_many([id], [vector], [metadata])
 
-    def upsert_many(self, ids, vectors=None, metadatas=None) -> None:
-        """Replaces vector and metadata of ids that exist; of an id that comes twice in lists the last counts, in a DataFrame an arbitrary one."""
+    def upsert_many(self, ids, vectors=None, metadatas=None, order_col: str | None = None) -> None:
+        """Replaces vector and metadata of ids that exist.
+
+        Of an id that comes twice in lists the last counts. In a DataFrame it is the one
+        with the greatest order_col, and of those, or without it, the greatest vector and metadata."""
         if isinstance(ids, DataFrame):
-            batch = self._checked(ids).dropDuplicates(["id"])
+            rows = ids.withColumn("metadata", F.col("metadata").cast("string") if "metadata" in ids.columns else F.lit(None).cast("string"))
+            order = [F.col(order_col).alias("by")] if order_col else []
+            last = F.max_by(F.struct("vector", "metadata"), F.struct(*order, "vector", "metadata")).alias("last")
+            batch = self._checked(rows.groupBy("id").agg(last).select("id", "last.*"))
         else:
             ids, vectors = list(ids), list(vectors)
             metadatas = [None] * len(ids) if metadatas is None else list(metadatas)
@@ -231,15 +316,37 @@ class Collection:
     # Upkeep
 
     def save(self) -> None:
-        """Folds the log into a new snapshot."""
-        if not self.manifest["segments"] and self.manifest["snapshot"]:
-            return
-        name = f"snapshot-{self.manifest['next_seq']:012d}-{uuid.uuid4().hex[:8]}"
-        self.records().withColumn("norm", norm("vector")).write.parquet(f"{self.path}/{name}")
-        old = [*self.manifest["segments"], *([self.manifest["snapshot"]] if self.manifest["snapshot"] else [])]
-        self._commit(snapshot=name, segments=[])
-        for segment in old:
-            self.files.delete(segment)
+        """Folds the log into a new snapshot, with codes and lists brought up to date."""
+        if self.manifest["segments"] or not self.manifest["snapshot"]:
+            self._fold()
+
+    def _fold(self, centroids=None, keep_index: bool = True, **changes) -> None:
+        refit, index = centroids is not None, self.manifest["index"] if keep_index else None
+        rows, quantized = self.records(), changes.get("quantized", self.manifest["quantized"])
+        if index and centroids is None:
+            refit = rows.count() > GROWN * index["fitted"]
+            centroids = ann.fit(rows, self.metric) if refit else self.opened_index().centroids
+        tag = f"{self.manifest['next_seq']:012d}-{uuid.uuid4().hex[:8]}"
+        out = rows.withColumn("norm", norm("vector"))
+        low, scale = parameters(train(rows)) if quantized else ([], [])
+        changes["sq8"] = {"low": low, "scale": scale} if low else None
+        if low:
+            out = out.withColumn("codes", quantize("vector", low, scale))
+        old = [*self.manifest["segments"], self.manifest["snapshot"], self.manifest["index"] and self.manifest["index"]["table"]]
+        if centroids is None or not len(centroids):
+            out.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/snapshot-{tag}")
+            changes["index"] = None
+        else:
+            lists = out.withColumn("list_id", ann.list_of(centroids, self.metric)("vector"))
+            ann.by_list(lists).write.partitionBy("list_id").parquet(f"{self.path}/snapshot-{tag}")
+            made = ann.over_lists(self.spark.read.schema(lists.schema).parquet(f"{self.path}/snapshot-{tag}"), centroids, self.metric)
+            made.save(f"{self.path}/index-{tag}")
+            n = sum(made.sizes.values())
+            changes["index"] = {"table": f"index-{tag}", "needed": made.needed, "rows": n, "fitted": n if refit else index["fitted"], "lists": len(made.sizes)}
+        behind = self.manifest["old"]
+        self._commit(snapshot=f"snapshot-{tag}", segments=[], old=[name for name in old if name], **changes)
+        for name in behind:
+            self.files.delete(name)
 
     def compact(self) -> None:
         """Forgets deleted slots; does nothing if there are none."""
@@ -258,23 +365,35 @@ class Collection:
             self.save()
 
     def enable_quantized_search(self) -> None:
+        """Trains on live records and stores codes with the snapshot; does nothing without records."""
         if not self.is_empty():
-            self._commit(quantized=True)
+            self._fold(quantized=True)
 
     def disable_quantized_search(self) -> None:
-        self._commit(quantized=False)
+        if self.manifest["quantized"]:
+            self._fold(quantized=False)
 
     def is_quantized(self) -> bool:
         return self.manifest["quantized"]
 
+    def _sq8(self) -> tuple[list[float], list[float]] | None:
+        stored = self.manifest["sq8"]
+        return (stored["low"], stored["scale"]) if stored else None
+
+    def _coded(self) -> DataFrame:
+        """Records with their codes, if any are stored; those that the log touched are coded by the stored parameters."""
+        sq8 = self._sq8()
+        return self._with("codes", lambda v: quantize(v, *sq8)) if sq8 else self.records()
+
     def quantized_records(self) -> DataFrame:
-        """id and the eight-bit codes of each vector, trained on live records."""
-        rows = self.records()
-        return rows.select("id", quantize("vector", *parameters(train(rows))).alias("codes"))
+        """id and the eight-bit codes of each vector, as stored, or trained on live records where none are."""
+        rows = self._coded()
+        return rows.select("id", "codes") if self._sq8() else rows.select("id", quantize("vector", *parameters(train(rows))).alias("codes"))
 
     def stats(self) -> dict:
         live, size = self.records().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0))).first()
-        return {"num_vectors": live, "num_deleted": self.manifest["deleted"], "total_slots": live + self.manifest["deleted"], "dim": self.dim, "metric": self.metric, "vector_bytes": size, "quantized": self.manifest["quantized"], "log_segments": len(self.manifest["segments"])}
+        index = self.manifest["index"]
+        return {"index_lists": index["lists"] if index else 0, "index_rows": index["rows"] if index else 0, "num_vectors": live, "num_deleted": self.manifest["deleted"], "total_slots": live + self.manifest["deleted"], "dim": self.dim, "metric": self.metric, "vector_bytes": size, "quantized": self.manifest["quantized"], "log_segments": len(self.manifest["segments"])}
 
     # Exchange
 
@@ -287,6 +406,18 @@ class Collection:
         rows = self.records().select("id", "vector", F.try_parse_json("metadata").alias("metadata"))
         rows.select(F.to_json(F.struct("id", "vector", "metadata")).alias("value")).write.text(path)
 
+    @classmethod
+    def import_file(cls, spark: SparkSession, path: str, file: str) -> Collection:
+        """A new collection of the document in a file, which one task reads; import_jsonl is for large ones."""
+        head = read_head(spark, file)
+        made = cls.create(spark, path, head["dim"], head["metric"])
+        made.add_many(read_document(spark, file))
+        return made
+
+    def import_jsonl(self, path: str) -> None:
+        """Upserts the records of files with an object per line, read by the tasks."""
+        self.upsert_many(read_lines(self.spark, path))
+
     @classmethod
     def import_json(cls, spark: SparkSession, path: str, document: str) -> Collection:
         head, ids, vectors, metadatas = rows_of_document(document)
@@ -326,7 +457,7 @@ class Client:
 
     def delete_collection(self, name: str) -> bool:
         self._path(name)
-        return self.files.exists(f"{name}/manifest.json") and self.files.delete(name)
+        return bool(_last_manifest(Files(self.spark, self._path(name)))) and self.files.delete(name)
 
     def list_collections(self) -> list[str]:
-        return [n for n in self.files.names() if self.files.exists(f"{n}/manifest.json")]
+        return [n for n in self.files.names() if _last_manifest(Files(self.spark, f"{self.root}/{n}"))]

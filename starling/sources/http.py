@@ -51,7 +51,8 @@ class Api:
         return {"added": len(body["ids"])}
 
     def search(self, body, name):
-        found = self._open(name).search(body["vector"], body.get("k") or 10, body.get("ef_search"), body.get("filter"), body.get("max_distance"))
+        k = body.get("k")
+        found = self._open(name).search(body["vector"], 10 if k is None else k, body.get("ef_search"), body.get("filter"), body.get("max_distance"))
         return [{"id": r["id"], "distance": r["distance"], "metadata": None if r["metadata"] is None else json.loads(r["metadata"])} for r in found.collect()]
 
     def get(self, body, name, id):

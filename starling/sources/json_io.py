@@ -34,6 +34,19 @@ def rows_of_document(document: str) -> tuple[dict, list, list, list]:
     return head, ids, values, [v.get("metadata") for v in vectors]
 
 
+def read_head(spark: SparkSession, path: str) -> dict:
+    """dim and metric of a document in a file."""
+    row = spark.read.schema("dim int, metric string").json(path, multiLine=True).first()
+    if row is None or row["dim"] is None or row["metric"] is None:
+        raise CorruptData(f"{path}: no collection document")
+    return row.asDict()
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of files with a JSON object per line: id, vector, metadata."""
+    return spark.read.schema("id string, vector array<float>, metadata variant").json(path).select("id", "vector", F.to_json("metadata").alias("metadata"))
+
+
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """Records of documents in files, read and exploded by the tasks: id, vector, metadata."""
     rows = spark.read.schema(DOCUMENT).json(path, multiLine=True).select(F.explode("vectors").alias("v"))

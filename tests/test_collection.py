@@ -61,6 +61,86 @@ def test_quantized_search(made):
     assert not made.is_quantized()
 
 
+def test_stored_codes(spark, made):
+    made.add_many([f"{i}" for i in range(30)], [[i, i * i] for i in range(30)])
+    made.enable_quantized_search()
+    made.upsert("5", [700, 700])
+    again = Collection.open(spark, made.path)
+    assert {"codes", "norm"} <= set(again._stored().columns) and again._sq8() == ([0, 0], [29 / 255, 841 / 255])
+    codes = {r["id"]: r["codes"] for r in again.quantized_records().collect()}
+    assert codes["29"] == [255, 255] and codes["0"] == [0, 0] and codes["5"] == [255, 212]
+    assert [r["id"] for r in again.search([700, 700], 1).collect()] == ["5"]
+    made.save()
+    assert Collection.open(spark, made.path)._sq8()[1] == [700 / 255, 841 / 255]
+
+
+def test_stored_index(spark, made, monkeypatch):
+    made.build_index()
+    assert made.stats()["index_lists"] == 0
+    rng = random.Random(3)
+    point = lambda i: [rng.random() + 4 * (i % 5), rng.random()]
+    made.add_many([f"{i:03d}" for i in range(200)], [point(i) for i in range(200)], [{"n": i} for i in range(200)])
+    made.build_index(10)
+    made.upsert_many(["000", "new"], [[100, 100], [100, 101]])
+    made.update("001", vector=[100, 102])
+    made.delete("002")
+    again = Collection.open(spark, made.path)
+    assert again.stats()["index_lists"] == 10
+    for c in (again, made):
+        q = [100, 100]
+        assert [r["id"] for r in c.search(q, 3, exact=False).collect()] == ["000", "new", "001"]
+        assert [r["id"] for r in c.search_many([q, [0, 0]], 3, exact=False).where("query_id = 0").orderBy("rank").collect()] == ["000", "new", "001"]
+        assert [r["id"] for r in c.search(q, 9, exact=False, where_filter={"n": {"$lt": 4}}).collect()] == ["001", "003"]
+        assert not c.search([2, 0], 300, exact=False).where("id = '002'").count() and c.search([2, 0], 300, exact=False).count() == 200
+        made.save()
+        made = Collection.open(spark, made.path)
+    assert not made._uses_index(None)
+    monkeypatch.setattr("starling.operators.ann.EXACT_BELOW", 10)
+    assert made._uses_index(None) and made.search([100, 100], 1).first()["id"] == "000"
+    made.add_many([f"x{i}" for i in range(300)], [point(i) for i in range(300)])
+    made.save()
+    assert made.manifest["index"]["rows"] == 500 == made.manifest["index"]["fitted"]
+    made.drop_index()
+    assert made.manifest["index"] is None and len(made) == 500
+
+
+def test_two_writers_and_readers(spark, made):
+    made.add("a", [1, 1])
+    made.save()
+    other, reader = Collection.open(spark, made.path), Collection.open(spark, made.path).records()
+    made.add("b", [2, 2])
+    with pytest.raises(errors.Conflict):
+        other.add("c", [3, 3])
+    made.save()
+    assert reader.count() == 1 and sorted(r["id"] for r in Collection.open(spark, made.path).ids().collect()) == ["a", "b"]
+    for i in range(12):
+        made.upsert("a", [i, i])
+    assert Collection.open(spark, made.path).get("a")[0] == [11, 11] and len([n for n in made.files.names() if n.startswith("manifest")]) <= 8
+
+
+def test_upsert_of_repeats(spark, made):
+    rows = spark.createDataFrame([("a", [1.0, 1.0], "1", 5), ("a", [2.0, 2.0], "2", 3), ("a", [0.0, 0.0], "3", 5)], "id string, vector array<double>, metadata string, n int")
+    made.upsert_many(rows)
+    assert made.get("a") == ([2, 2], 2)
+    made.upsert_many(rows, order_col="n")
+    assert made.get("a") == ([1, 1], 1)
+
+
+def test_import_of_files(spark, made, tmp_path):
+    made.add_many(["a", "b"], [[1, 0], [0.5, 2]], [{"x": 1}, None])
+    (tmp_path / "d.json").write_text(made.export_json(pretty=True))
+    copy = Collection.import_file(spark, f"file://{tmp_path}/copy", f"file://{tmp_path}/d.json")
+    assert copy.get("a") == ([1, 0], {"x": 1}) and copy.get("b") == ([0.5, 2], None) and copy.metric == "euclidean"
+    made.export_jsonl(f"file://{tmp_path}/lines")
+    empty = Collection.in_memory(spark, 2)
+    empty.import_jsonl(f"file://{tmp_path}/lines")
+    assert empty.get("a") == ([1, 0], {"x": 1}) and len(empty) == 2
+    empty.drop()
+    (tmp_path / "no.json").write_text("{}")
+    with pytest.raises(errors.CorruptData):
+        Collection.import_file(spark, f"file://{tmp_path}/other", f"file://{tmp_path}/no.json")
+
+
 def test_json(spark, made, tmp_path):
     made.add_many(["a", "b"], [[1, 0], [0.5, 2]], [{"x": 1}, None])
     text = made.export_json(pretty=True)

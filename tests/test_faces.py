@@ -32,6 +32,7 @@ def test_routes(spark, tmp_path):
     assert call("POST", "/collections/c/add_many", ids=["d"], vectors=[])[0] == 400
     assert call("POST", "/collections/c/upsert", id="b", vector=[2, 2]) == (200, {"upserted": "b"})
     assert call("POST", "/collections/c/search", vector=[1, 0], k=1, filter={"x": 1}) == (200, [{"id": "a", "distance": 0.0, "metadata": {"x": 1}}])
+    assert call("POST", "/collections/c/search", vector=[1, 0], k=0) == (200, []) and len(call("POST", "/collections/c/search", vector=[1, 0])[1]) == 3
     assert call("GET", "/collections/c/get/a") == (200, {"id": "a", "vector": [1, 0], "metadata": {"x": 1}})
     assert call("GET", "/collections/c/get/zz")[0] == 404 and call("GET", "/collections/no/stats")[0] == 404 and call("GET", "/nowhere")[0] == 404
     assert call("DELETE", "/collections/c/delete/a") == (200, {"deleted": True})
