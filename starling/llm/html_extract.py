@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,28 +39,70 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re
 _PART = re.compile(r"[a-z]+")
 
 
+class Place:
+    """A chain of open block elements. fresh has the features that no element above gave; above is the chain without the last element."""
+
+    __slots__ = ("above", "tag", "depth", "fresh", "below")
+
+    def __init__(self, above: Place | None, tag: str, fresh: tuple[str, ...]):
+        self.above, self.tag, self.fresh, self.below = above, tag, fresh, {}
+        self.depth = 0 if above is None else above.depth + 1
+
+    def features(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None:
+            out.extend(at.fresh)
+            at = at.above
+        return (*sorted(out), *self.own())
+
+    def own(self) -> tuple[str, str]:
+        return f"own:{self.tag}", f"depth:{min(self.depth, 8)}"
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Place
     linked: int
 
 
+class _Places:
+    """Chains that pages share, let go when there are many."""
+
+    most = 50_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.n = Place(None, "", ()), 0
+
+
+_places = _Places()
+#: The elements whose end a tag may be.
+ENDS = {tag: [k for k, by in CLOSED_BY.items() if tag in by] for by in CLOSED_BY.values() for tag in by}
+
+
 def _words(attributes: str) -> frozenset[str]:
     return frozenset(w for m in _NAMES.finditer(attributes) for w in _PART.findall(m[1].lower()))
 
 
 @lru_cache(maxsize=4096)
-def _mark(tag: str, attributes: str) -> str:
-    """A tag with the words of its class, id and role, as one string."""
-    return " ".join([tag, *sorted(_words(attributes))]) if "=" in attributes else tag
+def _marks(tag: str, attributes: str) -> tuple[str, ...]:
+    """Features of a tag and of the words of its class, id and role."""
+    return (f"in:{tag}", *(f"class:{w}" for w in sorted(_words(attributes)))) if "=" in attributes else (f"in:{tag}",)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in their order, white space inside each made single spaces."""
+    """The leaf blocks of a page in their order, white space inside each made single spaces.
+
+    Time and memory grow with the page's length: a block holds the chain of its elements, not a copy."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple[str, ...], Place]] = []
     texts: list[str] = []
+    n_open: Counter[str] = Counter()  # by tag, and by feature of the open block elements
+    if _places.n > _places.most:
+        _places.clear()
     state = {"linked": 0, "hidden": 0, "links": 0}
     page = page or ""
 
@@ -67,18 +110,35 @@ def blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                out.append(Block(text, tuple(m for t, m in stack if t not in INLINE), state["linked"]))
+                out.append(Block(text, stack[-1][2] if stack else _places.root, state["linked"]))
             texts.clear()
         state["linked"] = 0
 
     def pop_to(depth: int) -> None:
-        for tag, _ in stack[depth:]:
+        if any(t not in INLINE for t, _, _ in stack[depth:]):
+            end_block()
+        for tag, marks, _ in stack[depth:]:
             state["hidden"] -= tag in HIDDEN
             state["links"] -= tag == "a"
-        if any(t not in INLINE for t, _ in stack[depth:]):
-            end_block()
+            n_open[tag] -= 1
+            n_open.subtract(marks)
         del stack[depth:]
 
+    def push(tag: str, attributes: str) -> None:
+        above, marks = stack[-1][2] if stack else _places.root, ()
+        if tag not in INLINE:
+            marks = _marks(tag, attributes)
+            place = above.below.get(marks)
+            if place is None:
+                place = above.below[marks] = Place(above, tag, tuple(f for f in marks if not n_open[f]))
+                _places.n += 1
+            above = place
+            n_open.update(marks)
+        stack.append((tag, marks, above))
+        n_open[tag] += 1
+        state["hidden"] += tag in HIDDEN
+        state["links"] += tag == "a"
+
     def put(raw: str) -> None:
         if raw and not state["hidden"]:
             text = html_lib.unescape(raw) if "&" in raw else raw
@@ -98,8 +158,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[depth:])):
+            depth = None
+            if n_open[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        depth = k
+                        break
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
+            if depth is not None:
                 pop_to(depth)
             elif tag not in INLINE:
                 end_block()
@@ -122,7 +189,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if m[3].endswith("/>") and tag in ("svg", "math", "path"):
             continue
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, -1, -1) if any(n_open[t] for t in ENDS.get(tag, ())) else ():
             open_tag = stack[depth][0]
             if tag in CLOSED_BY.get(open_tag, ()):
                 pop_to(depth)
@@ -134,9 +201,7 @@ def blocks(page: str | None) -> list[Block]:
             end_block()
             if stack and stack[-1][0] == "head" and tag not in HIDDEN:
                 pop_to(len(stack) - 1)
-        stack.append((tag, _mark(tag, m[3])))
-        state["hidden"] += tag in HIDDEN
-        state["links"] += tag == "a"
+        push(tag, m[3])
     end_block()
     return out
 
@@ -145,17 +210,6 @@ def _bucket(n: int) -> int:
     return 0 if n < 2 else min(n.bit_length() - 1, 8)
 
 
-@lru_cache(maxsize=50_000)
-def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    out = set()
-    for mark in path:
-        tag, *words = mark.split(" ")
-        out.add(f"in:{tag}")
-        out.update(f"class:{w}" for w in words)
-    own = path[-1].split(" ")[0] if path else ""
-    return (*sorted(out), f"own:{own}", f"depth:{min(len(path), 8)}")
-
-
 def text_features(block: Block, place: int, n_blocks: int) -> tuple[str, ...]:
     text = block.text
     words = text.count(" ") + 1
@@ -169,7 +223,7 @@ def text_features(block: Block, place: int, n_blocks: int) -> tuple[str, ...]:
 
 def features(page_blocks: list[Block]) -> list[tuple[str, ...]]:
     n = len(page_blocks)
-    return [_path_features(b.path) + text_features(b, k, n) for k, b in enumerate(page_blocks)]
+    return [b.path.features() + text_features(b, k, n) for k, b in enumerate(page_blocks)]
 
 
 @dataclass
@@ -182,25 +236,32 @@ class Field:
     start: float
 
     def __post_init__(self):
-        self.by_path: dict = {}
+        self.by_place: dict[Place, float] = {}
 
     def __getstate__(self):
         return (self.weights, self.base, self.moves, self.start)
 
     def __setstate__(self, state):
         self.weights, self.base, self.moves, self.start = state
-        self.by_path = {}
+        self.by_place = {}
+
+    def of_place(self, place: Place) -> float:
+        """What the features of a chain add but its own tag and depth, by what its upper part adds."""
+        chain, get = [], self.weights.get
+        while place is not None and place not in self.by_place:
+            chain.append(place)
+            place = place.above
+        known = 0.0 if place is None else self.by_place[place]
+        for place in reversed(chain):
+            known += sum(get(f, 0.0) for f in place.fresh)
+            self.by_place[place] = known
+        return known
 
     def emissions(self, page_blocks: list[Block]) -> list[float]:
-        get, n, out = self.weights.get, len(page_blocks), []
-        for k, b in enumerate(page_blocks):
-            known = self.by_path.get(b.path)
-            if known is None:
-                if len(self.by_path) > 50_000:
-                    self.by_path.clear()
-                known = self.by_path[b.path] = sum(get(f, 0.0) for f in _path_features(b.path))
-            out.append(self.base + known + sum(get(f, 0.0) for f in text_features(b, k, n)))
-        return out
+        get, n = self.weights.get, len(page_blocks)
+        if len(self.by_place) > _places.most:
+            self.by_place.clear()
+        return [self.base + self.of_place(b.path) + sum(get(f, 0.0) for f in (*b.path.own(), *text_features(b, k, n))) for k, b in enumerate(page_blocks)]
 
     def decode(self, page_blocks: list[Block]) -> list[bool]:
         """Viterbi's best labels."""
@@ -224,6 +285,37 @@ class Field:
         return " ".join(b.text for b, keep in zip(found, self.decode(found)) if keep)
 
 
+def likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log likelihood of the labels y and its gradient, by the forward-backward recursion.
+
+    theta: weights, one that stays 0, base, start, four moves. x: pages by blocks by
+    places of features in theta. real: whether a page has such a block."""
+    (n, longest, width), nothing = x.shape, len(theta) - 7
+    w, base, start, moves = theta[: nothing + 1], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
+    e = np.stack([np.zeros((n, longest)), w[x].sum(2) + base], 2)
+    e[:, 0, 1] += start
+    ahead = np.zeros((n, longest, 2))
+    ahead[:, 0] = e[:, 0]
+    for k in range(1, longest):
+        ahead[:, k] = np.where(real[:, k, None], np.logaddexp.reduce(ahead[:, k - 1, :, None] + moves, axis=1) + e[:, k], ahead[:, k - 1])
+    total = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    behind, pair = np.zeros((n, longest, 2)), np.zeros((2, 2))
+    for k in range(longest - 2, -1, -1):
+        go = moves + (e[:, k + 1] + behind[:, k + 1])[:, None, :]
+        behind[:, k] = np.where(real[:, k + 1, None], np.logaddexp.reduce(go, axis=2), behind[:, k + 1])
+        pair += (np.exp(ahead[:, k, :, None] + go - total[:, None, None]) * real[:, k + 1, None, None]).sum(0)
+    d = (y - np.exp(ahead[..., 1] + behind[..., 1] - total[:, None])) * real
+    both = real[:, 1:]
+    seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
+    g = np.zeros_like(theta)
+    np.add.at(g, x.ravel(), np.repeat(d.ravel(), width))
+    g[nothing] = 0
+    g[-6], g[-5] = d.sum(), d[:, 0].sum()
+    g[-4:] = (seen - pair).ravel()
+    said = (e[..., 1] * y * real).sum() + (seen * moves).sum()
+    return float(said - total.sum()), g
+
+
 def train(pages, rounds: int = 150, rate: float = 0.15, shrink: float = 1e-3) -> Field:
     """The field of greatest likelihood (with a ridge) for pages, pairs of HTML and the words of their main text.
 
@@ -242,32 +334,10 @@ def train(pages, rounds: int = 150, rate: float = 0.15, shrink: float = 1e-3) ->
         for k, f in enumerate(r):
             x[i, k, : len(f)] = f
         y[i, : len(ls)], real[i, : len(ls)] = ls, True
-    theta = np.zeros(len(names) + 1 + 6)  # weights, nothing, base, start, moves
+    theta = np.zeros(len(names) + 1 + 6)
     m = v = np.zeros_like(theta)
-    both = real[:, 1:]
     for step in range(1, rounds + 1):
-        w, base, start, moves = theta[: len(names) + 1], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
-        e = np.stack([np.zeros((n, longest)), w[x].sum(2) + base], 2)
-        e[:, 0, 1] += start
-        ahead = np.zeros((n, longest, 2))
-        ahead[:, 0] = e[:, 0]
-        for k in range(1, longest):
-            ahead[:, k] = np.where(real[:, k, None], np.logaddexp.reduce(ahead[:, k - 1, :, None] + moves, axis=1) + e[:, k], ahead[:, k - 1])
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        behind, pair = np.zeros((n, longest, 2)), np.zeros((2, 2))
-        for k in range(longest - 2, -1, -1):
-            go = moves + (e[:, k + 1] + behind[:, k + 1])[:, None, :]
-            behind[:, k] = np.where(real[:, k + 1, None], np.logaddexp.reduce(go, axis=2), behind[:, k + 1])
-            pair += (np.exp(ahead[:, k, :, None] + go - total[:, None, None]) * real[:, k + 1, None, None]).sum(0)
-        p = np.exp(ahead[..., 1] + behind[..., 1] - total[:, None]) * real
-        d = (p - y) * real
-        g = np.zeros_like(theta)
-        np.add.at(g, x.ravel(), np.repeat(d.ravel(), width))
-        g[len(names)] = 0
-        g[-6], g[-5] = d.sum(), d[:, 0].sum()
-        seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
-        g[-4:] = (pair - seen).ravel()
-        g = g / n + shrink * theta
+        g = likelihood(theta, x, y, real)[1] / -n + shrink * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     moves = theta[-4:].reshape(2, 2)

@@ -25,8 +25,9 @@ NOTICES = [
     [(False, '<div class="alert notice">%s</div>', 5, 20)],
     [],
 ]
-OPENINGS = ["<article>", '<main><article class="post">', '<div id="content" class="content main"><div class="post-content entry-content article-body">', '<main id="main">', '<section class="article story"><div class="body text">', '<div class="wrapper container"><div class="article">']
-CLOSINGS = ["</article>", "</article></main>", "</div></div>", "</main>", "</div></section>", "</div></div>"]
+WRAPPERS = ["", "", "", '<div id="wrapper" class="site page">', '<div class="site-container page-wrapper">', '<div id="root"><div class="app layout">', '<div id="container" class="outer">', '<div class="page theme">']
+OPENINGS = ["<article>", '<main><article class="post">', '<div id="content" class="content main"><div class="post-content entry-content article-body">', '<main id="main">', '<section class="article story"><div class="body text">', '<div class="wrapper container"><div class="article">', '<div id="content-area" class="site-content"><div class="post single-post">', '<div class="main-column"><div class="story-body">']
+CLOSINGS = ["</article>", "</article></main>", "</div></div>", "</main>", "</div></section>", "</div></div>", "</div></div>", "</div></div>"]
 TITLES = ["<h1>%s</h1>", '<h1 class="title headline entry-title">%s</h1>', "<h2>%s</h2>", '<header class="entry-header"><h1 class="entry-title">%s</h1></header>']
 MAIN = [
     ("<p>%s</p>", 8, 120), ("<p>%s</p>", 8, 60), ("<p>%s</p>", 1, 8), ("<p><b>%s</b><br>", 20, 80), ("<h2>%s</h2>", 2, 8), ("<h3>%s</h3>", 2, 6), ("<blockquote>%s</blockquote>", 6, 40),
@@ -45,6 +46,7 @@ INSIDE = [  # between or after paragraphs, within the article
 COMMENTS = [
     [(False, '<section class="comments" id="comments"><h2>%s</h2>', 1, 3), *[(False, '<div class="comment"><p>%s</p></div>', 5, 50)] * 3, (False, "</section>", 0, 0)],
     [(False, '<ol class="commentlist comment-list"><li class="comment"><div class="comment-body"><p>%s</p></div></li>', 5, 40), (False, '<li class="comment"><p>%s</p></li></ol>', 5, 40)],
+    [(False, '<div class="comments-area"><div class="comment-content"><p>%s</p></div></div>', 5, 50)],
     [(False, '<div id="disqus_thread" class="responses replies"><p>%s</p></div>', 5, 60)],
     [(False, '<div class="user-comments"><h3>%s</h3>', 1, 3), (False, '<div class="reply"><p>%s</p></div></div>', 8, 60)],
     [], [], [],
@@ -94,6 +96,7 @@ def labelled_pages(n: int = 400, seed: int = 7):
                     main.add(words[0][:1].upper() + words[0][1:]) if words else None
             html.append(part)
 
+        html.append(rng.choice(WRAPPERS))
         for group in (rng.choice(HEADS), rng.choice(NOTICES)):
             for part in group:
                 put(*part)
