@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -100,7 +100,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], Place]] = []
     texts: list[str] = []
-    n_open: Counter[str] = Counter()  # by tag, and by feature of the open block elements
+    n_open: defaultdict[str, int] = defaultdict(int)  # by tag, and by feature of the open block elements
     if _places.n > _places.most:
         _places.clear()
     state = {"linked": 0, "hidden": 0, "links": 0}
@@ -121,7 +121,8 @@ def blocks(page: str | None) -> list[Block]:
             state["hidden"] -= tag in HIDDEN
             state["links"] -= tag == "a"
             n_open[tag] -= 1
-            n_open.subtract(marks)
+            for f in marks:
+                n_open[f] -= 1
         del stack[depth:]
 
     def push(tag: str, attributes: str) -> None:
@@ -133,7 +134,8 @@ def blocks(page: str | None) -> list[Block]:
                 place = above.below[marks] = Place(above, tag, tuple(f for f in marks if not n_open[f]))
                 _places.n += 1
             above = place
-            n_open.update(marks)
+            for f in marks:
+                n_open[f] += 1
         stack.append((tag, marks, above))
         n_open[tag] += 1
         state["hidden"] += tag in HIDDEN
