@@ -117,7 +117,7 @@ def _shipped(rows: DataFrame, asked: DataFrame, metric: str, schema: str, k: int
     table = asked.toArrow()
     if not table.num_rows:
         return rows.sparkSession.createDataFrame([], schema)
-    shipped = rows.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), np.array(table["q"].to_pylist(), dtype=np.float64)))
+    shipped = rows.sparkSession.sparkContext.broadcast((table["query_id"].combine_chunks(), _matrix(table["q"], table.num_rows)))
 
     def kernel(batches):
         q_ids, q = shipped.value
@@ -168,7 +168,9 @@ def _joined(records: DataFrame, queries: DataFrame, metric: str, query_id: str,
     schema, n = _schema(rows, asked, with_metadata), asked.count()
     if n <= QUERY_BLOCK:
         return _shipped(rows, asked, metric, schema, k, max_distance)
-    parts = {"query_part": -(-n // CELL_QUERIES), "row_part": max(1, -(-rows.count() // CELL_ROWS))}
+    row_parts = max(1, -(-rows.count() // CELL_ROWS))
+    busy = min(-(-rows.sparkSession.sparkContext.defaultParallelism // row_parts), n // 1000)  # cells for all cores where there are few
+    parts = {"query_part": max(-(-n // CELL_QUERIES), busy), "row_part": row_parts}
     own = lambda c, part: F.pmod(F.xxhash64(c), F.lit(parts[part])).alias(part)
     every = lambda part: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[part] - 1).cast("long"))).alias(part)
     asked = asked.select("query_id", "q", own("query_id", "query_part"), every("row_part"))

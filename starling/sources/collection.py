@@ -34,6 +34,8 @@ KEEP = object()
 FOLD_AFTER = 64
 #: Manifests that are left behind the last one, for readers that are about to open one.
 MANIFESTS = 8
+#: Vectors' bytes in a file of a snapshot, about.
+FILE_BYTES = 128 << 20
 #: An index is made anew when the collection has grown by this factor.
 GROWN = 2
 
@@ -320,6 +322,11 @@ class Collection:
         if self.manifest["segments"] or not self.manifest["snapshot"]:
             self._fold()
 
+    def _files_of(self, n: int) -> int:
+        """Files of a snapshot: of FILE_BYTES of vectors, but enough for all cores to search where rows are not too few."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(1, -(-n * self.dim * 4 // FILE_BYTES), min(cores, n // 1000))
+
     def _fold(self, centroids=None, keep_index: bool = True, **changes) -> None:
         refit, index = centroids is not None, self.manifest["index"] if keep_index else None
         rows, quantized = self.records(), changes.get("quantized", self.manifest["quantized"])
@@ -334,7 +341,7 @@ class Collection:
             out = out.withColumn("codes", quantize("vector", low, scale))
         old = [*self.manifest["segments"], self.manifest["snapshot"], self.manifest["index"] and self.manifest["index"]["table"]]
         if centroids is None or not len(centroids):
-            out.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/snapshot-{tag}")
+            out.repartitionByRange(self._files_of(rows.count()), "id").sortWithinPartitions("id").write.parquet(f"{self.path}/snapshot-{tag}")
             changes["index"] = None
         else:
             lists = out.withColumn("list_id", ann.list_of(centroids, self.metric)("vector"))
