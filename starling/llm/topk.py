@@ -7,9 +7,10 @@ visits its blocks by falling bound, scores a block through its forward index (on
 matrix product for all queries that want the block), and drops blocks whose bound
 is below its k-th score so far. Scores are integers, so nothing is rounded.
 
-Queries are taken in blocks of a fixed size; each block is one job over all
-candidates. A first k-th score comes from the queries of the block themselves,
-which are candidates too, so tasks return few rows.
+A block of queries of a fixed size is shipped to the tasks, which search what they
+read. More queries never pass the driver: parts of them meet parts of the candidates
+in cells of bounded size. A first k-th score comes from the queries of a part
+themselves, which are candidates too, so tasks return few rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from starling.llm.common import store
 
-#: Queries of one job, rows of a block, rows that a task holds at a time, blocks that each query visits in its own order.
+#: Queries shipped, at most, rows of a block, rows that a task holds at a time, blocks that each query visits in its own order.
 QUERY_BLOCK, BLOCK_ROWS, HELD_ROWS, OWN_ORDER = 8192, 256, 65_536, 3
+#: Queries of a cell, about; its rows are HELD_ROWS, about.
+CELL_QUERIES = 16_384
+
+FOUND = "query_id long, vec_id long, score long"
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -137,6 +142,57 @@ def first_floor(queries: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarra
     return best.floor
 
 
+def _search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int, batches) -> pa.Table:
+    """The k best of each query among the rows (vec_id, q) of all batches."""
+    best, held, n = TopK(len(queries), k, floor), [], 0
+
+    def scan():
+        width = max(m.shape[1] for m, _ in held)
+        search_rows(queries, query_ids, np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m, _ in held]), np.concatenate([i for _, i in held]), best)
+
+    for batch in batches:
+        held.append((_matrix(batch.column("q")), batch.column("vec_id").to_numpy()))
+        n += batch.num_rows
+        if n >= HELD_ROWS:
+            scan()
+            held, n = [], 0
+    if n:
+        scan()
+    return pa.table({"query_id": query_ids[best.q], "vec_id": best.id, "score": best.score})
+
+
+def _shipped(rows: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """The k best of each task for the few queries (vec_id, q)."""
+    part = asking.orderBy("vec_id").toArrow()
+    queries, query_ids = _matrix(part.column("q")), part.column("vec_id").to_numpy()
+    shipped = rows.sparkSession.sparkContext.broadcast((queries, query_ids, first_floor(queries, query_ids, k)))
+
+    def search(batches):
+        yield from _search(*shipped.value, k, batches).to_batches()
+
+    return rows.mapInArrow(search, FOUND)
+
+
+def _in_cells(rows: DataFrame, asking: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """The k best of each cell of queries (vec_id, q) and rows. Rows are dealt by their place, so that no repeated one fills a cell."""
+    query_parts, row_parts = -(-n_queries // CELL_QUERIES), max(1, -(-rows.count() // HELD_ROWS))
+
+    def with_floor(part: pa.Table) -> pa.Table:
+        return part.append_column("floor", pa.array(first_floor(_matrix(part.column("q")), part.column("vec_id").to_numpy(), k)))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _search(_matrix(left.column("q")), left.column("vec_id").to_numpy(), left.column("floor").to_numpy(), k, [right] if left.num_rows and right.num_rows else [])
+
+    dealt = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = asking.select("vec_id", "q", dealt("vec_id", query_parts).alias("query_part"))
+    asked = store(asked.groupBy("query_part").applyInArrow(with_floor, "vec_id long, q array<long>, query_part long, floor long"), "topk-floors")
+    asked = asked.select("*", every(row_parts).alias("row_part"))
+    rows = rows.select("vec_id", "q", dealt(F.monotonically_increasing_id(), row_parts).alias("row_part"), every(query_parts).alias("query_part"))
+    cell = ["query_part", "row_part"]
+    return asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(search, FOUND)
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by `every` the k best other rows.
 
@@ -144,43 +200,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     do rows without id. Of repeated query ids the least vector asks; a query's own
     id is no candidate, other repeated rows each are. Shorter vectors count as
     filled up with zeros. An empty table gives no rows. Other columns are ignored."""
-    spark = vectors.sparkSession
     rows = store(quantized(vectors, id_col, vector_col).where("vec_id is not null"), "topk-rows")
-    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_blocks = -(-asking.count() // QUERY_BLOCK)
-    asking = store(asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(n_blocks, 1)))), "topk-queries")
-    found = []
-    for block in range(n_blocks):
-        part = asking.where(F.col("block") == block).orderBy("vec_id").select("vec_id", "q").toArrow()  # about QUERY_BLOCK rows
-        if not part.num_rows:
-            continue
-        queries, query_ids = _matrix(part.column("q")), part.column("vec_id").to_numpy()
-        shipped = spark.sparkContext.broadcast((queries, query_ids, first_floor(queries, query_ids, k)))
-
-        def search(batches, shipped=shipped):
-            queries, query_ids, floor = shipped.value
-            best, held, n = TopK(len(queries), k, floor), [], 0
-
-            def scan():
-                width = max(m.shape[1] for m, _ in held)
-                search_rows(queries, query_ids, np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m, _ in held]), np.concatenate([i for _, i in held]), best)
-
-            for batch in batches:
-                held.append((_matrix(batch.column(1)), batch.column(0).to_numpy()))
-                n += batch.num_rows
-                if n >= HELD_ROWS:
-                    scan()
-                    held, n = [], 0
-            if n:
-                scan()
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.q]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
-
-        found.append(rows.mapInArrow(search, "query_id long, vec_id long, score long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every_one = found[0]
-    for more in found[1:]:
-        every_one = every_one.unionByName(more)
+    asking = store(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q")), "topk-queries")
+    n = asking.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = _shipped(rows, asking, k) if n <= QUERY_BLOCK else _in_cells(rows, asking, n, k)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = every_one.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -45,11 +45,14 @@ def test_few_rows(spark):
     assert topk.top_k(frame(spark, [])).count() == 0
 
 
-def test_blocks_of_queries(spark, monkeypatch):
+def test_cells(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(900)]
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(900)] + [(40, [0.5] * 8)] * 400 + [(61, [2.0] * 9)] * 30
+    for name, size in (("QUERY_BLOCK", 10), ("CELL_QUERIES", 17), ("HELD_ROWS", 200)):
+        monkeypatch.setattr(topk, name, size)
     assert got(topk.top_k(frame(spark, rows))) == brute(rows)
+    few = [(20 * i, [float(i)]) for i in range(15)]
+    assert got(topk.top_k(frame(spark, few))) == brute(few)
 
 
 def test_blocks_are_pruned():
