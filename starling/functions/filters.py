@@ -211,3 +211,34 @@ def typed_condition(given, fields: TypedFields) -> Column:
 
 def metadata_filter(given, metadata: str | Column = "metadata") -> Column:
     return compile_filter(given, JsonFields(F.col(metadata) if isinstance(metadata, str) else metadata))
+
+
+def promoted(metadata: str, keys: list[str]) -> dict[str, Column]:
+    """Columns of a JSON column's fields: text_<n> where the n-th key holds a string, number_<n> where it holds a number."""
+    fields, out = JsonFields(F.col(metadata)), {}
+    for n, key in enumerate(keys):
+        out[f"text_{n}"] = F.when(fields.is_object & (fields.kind(key) == "STRING"), F.try_variant_get(fields.variant, fields._path(key), "string"))
+        out[f"number_{n}"] = F.when(fields.is_object, fields.number(key))
+    return out
+
+
+def implied(given, keys: list[str]) -> Column | None:
+    """A condition on promoted columns that all rows meet which the filter keeps, and that reaches the scan; None if there is none."""
+    f = parse_filter(given)
+    if isinstance(f, (And, Or)):
+        parts = [implied(p, keys) for p in f.parts]
+        known = [p for p in parts if p is not None]
+        if isinstance(f, And):
+            return _all(known, lambda a, b: a & b) if known else None
+        return _all(known, lambda a, b: a | b) if known and len(known) == len(parts) else None
+    if f.key not in keys or isinstance(f, Ne):
+        return None
+    text, number = (F.col(f"{kind}_{keys.index(f.key)}") for kind in ("text", "number"))
+    if isinstance(f, Compare):
+        return ORDER[f.op](number, F.lit(f.value))
+    values = f.values if isinstance(f, In) else (f.value,)
+    if values and all(isinstance(v, str) for v in values):
+        return text.isin(list(values))
+    if values and all(type(v) in (int, float) and abs(v) < 1 << 53 for v in values):
+        return number.isin([float(v) for v in values])
+    return None

@@ -189,6 +189,14 @@ def filter_typed(spark, sf_dir):
     return docs.where(flt.typed_condition({"lang": {"$in": ["de", "es"]}, "n_chars": {"$gte": 500}, "source": {"$ne": "src0"}}, fields)).select("doc_id")
 
 
+@query("filter_promoted", f"{R} SELECT id FROM r WHERE has AND lang IN ('de', 'es') AND n_chars >= 500")
+def filter_promoted(spark, sf_dir):
+    """A filter over fields that a snapshot holds as columns."""
+    made = _fresh(spark, sf_dir, records(spark, sf_dir))
+    made.promote("lang", "n_chars")
+    return made.records({"lang": {"$in": ["de", "es"]}, "n_chars": {"$gte": 500}}).select("id")
+
+
 for _name, _filter, _sql in (
     ("gt", {"k": {"$gt": 50}}, "json_extract(props, '$.k')::DOUBLE > 50"),
     ("eq", {"k": 7}, "json_extract(props, '$.k')::BIGINT = 7"),

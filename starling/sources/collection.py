@@ -7,7 +7,8 @@ so readers see all of a change or nothing, and a writer that lost a race gets a
 Conflict. What a snapshot replaces is deleted when the next one is written.
 
 A snapshot is sorted by id, or laid out by list where the collection has an index; it
-holds norms, and eight-bit codes where quantized search is on.
+holds norms, eight-bit codes where quantized search is on, and columns of their own
+for the metadata fields that the collection names: filters on those reach the scan.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starling import errors
 from starling.functions.distance import check_vector, norm, parse_metric
-from starling.functions.filters import metadata_filter
+from starling.functions.filters import implied, metadata_filter, promoted
 from starling.functions.quantize import parameters, quantize, train
 from starling.operators import ann, search as searching
 from starling.sources.files import Files, shared_dir
@@ -59,7 +60,8 @@ class Collection:
     # Opening
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, dim: int, metric: str = "cosine", quantized: bool = False) -> Collection:
+    def create(cls, spark: SparkSession, path: str, dim: int, metric: str = "cosine", quantized: bool = False, fields=()) -> Collection:
+        """`fields` are metadata keys that snapshots hold as columns."""
         if dim < 1:
             raise errors.InvalidVector("dim must be at least 1")
         metric = parse_metric(metric)
@@ -67,7 +69,7 @@ class Collection:
         if _last_manifest(files):
             raise errors.CollectionExists(path)
         files.make()
-        made = cls(spark, path, {"version": 0, "dim": dim, "metric": metric, "quantized": quantized, "sq8": None, "index": None, "snapshot": None, "segments": [], "next_seq": 0, "deleted": 0, "old": []})
+        made = cls(spark, path, {"version": 0, "dim": dim, "metric": metric, "quantized": quantized, "fields": list(dict.fromkeys(fields)), "sq8": None, "index": None, "snapshot": None, "segments": [], "next_seq": 0, "deleted": 0, "old": []})
         made._commit()
         return made
 
@@ -112,31 +114,52 @@ class Collection:
     def metric(self) -> str:
         return self.manifest["metric"]
 
+    @property
+    def fields(self) -> list[str]:
+        return self.manifest.get("fields", [])
+
     def _stored(self) -> DataFrame:
-        """The snapshot with all its columns: id, vector, metadata, norm and, where it has them, codes and list_id."""
-        schema = f"{RECORD}, norm double" + (", codes array<smallint>" if self.manifest["sq8"] else "") + (", list_id int" if self.manifest["index"] else "")
+        """The snapshot with all its columns: id, vector, metadata, norm and, where it has them, fields, codes and list_id."""
+        schema = f"{RECORD}, norm double" + "".join(f", text_{n} string, number_{n} double" for n in range(len(self.fields))) + (", codes array<smallint>" if self.manifest["sq8"] else "") + (", list_id int" if self.manifest["index"] else "")
         name = self.manifest["snapshot"]
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
 
     def _snapshot(self) -> DataFrame:
         return self._stored().select("id", "vector", "metadata")
 
-    def _with(self, column: str, of_vector) -> DataFrame:
-        """Live records with a column that the snapshot has; of_vector computes it for those that the log touched."""
-        stored = self._stored().select("id", "vector", "metadata", column)
+    def _pruned(self, where) -> DataFrame:
+        """_stored() without rows that a filter, if given, drops by promoted fields."""
+        condition = None if where is None or isinstance(where, Column) else implied(where, self.fields)
+        return self._stored() if condition is None else self._stored().where(condition)
+
+    def _with(self, column: str, of_vector, where=None) -> DataFrame:
+        """Live records with a column that the snapshot has; of_vector computes it for those that the log touched.
+
+        With a filter, at least those that it keeps."""
+        stored = self._pruned(where).select("id", "vector", "metadata", column)
         if not self.manifest["segments"]:
             return stored
-        touched = self.log().select("id").distinct()
-        changed = fold(stored.join(touched, "id", "left_semi"), self.log())
+        touched, changed = self._touched()
         return stored.join(touched, "id", "left_anti").unionByName(changed.withColumn(column, of_vector(F.col("vector"))))
 
+    def _touched(self) -> tuple[DataFrame, DataFrame]:
+        """Ids that the log names, and those of them that live, as they are now."""
+        touched = self.log().select("id").distinct()
+        return touched, fold(self._snapshot().join(touched, "id", "left_semi"), self.log())
+
     def log(self) -> DataFrame:
         segments = self.manifest["segments"]
         return self.spark.read.schema(LOG).parquet(*[f"{self.path}/{s}" for s in segments]) if segments else self.spark.createDataFrame([], LOG)
 
-    def records(self) -> DataFrame:
-        """Live records."""
-        return fold(self._snapshot(), self.log()) if self.manifest["segments"] else self._snapshot()
+    def records(self, where=None) -> DataFrame:
+        """Live records, with a filter those that it keeps."""
+        if where is None:
+            return fold(self._snapshot(), self.log()) if self.manifest["segments"] else self._snapshot()
+        rows = self._pruned(where).select("id", "vector", "metadata")
+        if self.manifest["segments"]:
+            touched, changed = self._touched()
+            rows = rows.join(touched, "id", "left_anti").unionByName(changed)
+        return rows.where(where if isinstance(where, Column) else metadata_filter(where))
 
     # Reading
 
@@ -157,8 +180,7 @@ class Collection:
         return self.records().select("id")
 
     def count(self, where=None) -> int:
-        rows = self.records()
-        return (rows if where is None else rows.where(metadata_filter(where))).count()
+        return self.records(where).count()
 
     def __len__(self) -> int:
         return self.count()
@@ -177,10 +199,10 @@ class Collection:
         decides that for one search."""
         vector = check_vector(vector, self.dim)
         if self.manifest["quantized"] and not exact:
-            return ann.two_stage_search(self._coded(), vector, k, self.metric, ef_search, where_filter, max_distance, self._sq8())
+            return ann.two_stage_search(self._coded(where_filter), vector, k, self.metric, ef_search, where_filter, max_distance, self._sq8())
         if self._uses_index(exact):
             return self.opened_index().search(vector, k, ef_search, None if where_filter is None else metadata_filter(where_filter), max_distance)
-        return searching.search(self.records(), vector, k, self.metric, where_filter, max_distance)
+        return searching.search(self.records(where_filter), vector, k, self.metric, None, max_distance)
 
     def search_many(self, vectors, k: int = 10, ef_search: int | None = None, where_filter=None, max_distance: float | None = None, exact: bool | None = None) -> DataFrame:
         """query_id (place in vectors, from 0), rank, id, distance, metadata; vectors may be a DataFrame (query_id, vector).
@@ -190,7 +212,7 @@ class Collection:
             rows = [(i, check_vector(v, self.dim)) for i, v in enumerate(vectors)]
             vectors = self.spark.createDataFrame(rows, "query_id long, vector array<double>")
         if where_filter is not None or not self._uses_index(exact):
-            return searching.search_many(self.records(), vectors, k, self.metric, where_filter, max_distance)
+            return searching.search_many(self.records(where_filter), vectors, k, self.metric, None, max_distance)
         found = self.opened_index().search_many(vectors, k, ef_search)
         if max_distance is not None:
             found = found.where(F.col("distance") <= max_distance)
@@ -334,18 +356,20 @@ class Collection:
             refit = rows.count() > GROWN * index["fitted"]
             centroids = ann.fit(rows, self.metric) if refit else self.opened_index().centroids
         tag = f"{self.manifest['next_seq']:012d}-{uuid.uuid4().hex[:8]}"
-        out = rows.withColumn("norm", norm("vector"))
+        fields = changes.get("fields", self.fields)
+        out = rows.withColumn("norm", norm("vector")).withColumns(promoted("metadata", fields))
+        blooms = {f"parquet.bloom.filter.enabled#text_{n}": "true" for n in range(len(fields))}  # for equality with rare values
         low, scale = parameters(train(rows)) if quantized else ([], [])
         changes["sq8"] = {"low": low, "scale": scale} if low else None
         if low:
             out = out.withColumn("codes", quantize("vector", low, scale))
         old = [*self.manifest["segments"], self.manifest["snapshot"], self.manifest["index"] and self.manifest["index"]["table"]]
         if centroids is None or not len(centroids):
-            out.repartitionByRange(self._files_of(rows.count()), "id").sortWithinPartitions("id").write.parquet(f"{self.path}/snapshot-{tag}")
+            out.repartitionByRange(self._files_of(rows.count()), "id").sortWithinPartitions("id").write.options(**blooms).parquet(f"{self.path}/snapshot-{tag}")
             changes["index"] = None
         else:
             lists = out.withColumn("list_id", ann.list_of(centroids, self.metric)("vector"))
-            ann.by_list(lists).write.partitionBy("list_id").parquet(f"{self.path}/snapshot-{tag}")
+            ann.by_list(lists).write.options(**blooms).partitionBy("list_id").parquet(f"{self.path}/snapshot-{tag}")
             made = ann.over_lists(self.spark.read.schema(lists.schema).parquet(f"{self.path}/snapshot-{tag}"), centroids, self.metric)
             made.save(f"{self.path}/index-{tag}")
             n = sum(made.sizes.values())
@@ -371,6 +395,10 @@ class Collection:
         if kind is None:
             self.save()
 
+    def promote(self, *fields: str) -> None:
+        """Gives these metadata fields, and no others, columns of their own in the snapshot."""
+        self._fold(fields=list(dict.fromkeys(fields)))
+
     def enable_quantized_search(self) -> None:
         """Trains on live records and stores codes with the snapshot; does nothing without records."""
         if not self.is_empty():
@@ -387,10 +415,10 @@ class Collection:
         stored = self.manifest["sq8"]
         return (stored["low"], stored["scale"]) if stored else None
 
-    def _coded(self) -> DataFrame:
-        """Records with their codes, if any are stored; those that the log touched are coded by the stored parameters."""
+    def _coded(self, where=None) -> DataFrame:
+        """Records with their codes, if any are stored; those that the log touched are coded by the stored parameters. With a filter, at least those that it keeps."""
         sq8 = self._sq8()
-        return self._with("codes", lambda v: quantize(v, *sq8)) if sq8 else self.records()
+        return self._with("codes", lambda v: quantize(v, *sq8), where) if sq8 else self.records(where)
 
     def quantized_records(self) -> DataFrame:
         """id and the eight-bit codes of each vector, as stored, or trained on live records where none are."""
@@ -400,7 +428,7 @@ class Collection:
     def stats(self) -> dict:
         live, size = self.records().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0))).first()
         index = self.manifest["index"]
-        return {"index_lists": index["lists"] if index else 0, "index_rows": index["rows"] if index else 0, "num_vectors": live, "num_deleted": self.manifest["deleted"], "total_slots": live + self.manifest["deleted"], "dim": self.dim, "metric": self.metric, "vector_bytes": size, "quantized": self.manifest["quantized"], "log_segments": len(self.manifest["segments"])}
+        return {"index_lists": index["lists"] if index else 0, "index_rows": index["rows"] if index else 0, "num_vectors": live, "num_deleted": self.manifest["deleted"], "total_slots": live + self.manifest["deleted"], "dim": self.dim, "metric": self.metric, "vector_bytes": size, "quantized": self.manifest["quantized"], "fields": self.fields, "log_segments": len(self.manifest["segments"])}
 
     # Exchange
 
@@ -453,8 +481,8 @@ class Client:
             raise errors.InvalidCollectionName(f"{name!r}: use letters, digits, '_', '-' and '.'")
         return f"{self.root}/{name}"
 
-    def create_collection(self, name: str, dim: int, metric: str = "cosine", quantized: bool = False) -> Collection:
-        return Collection.create(self.spark, self._path(name), dim, metric, quantized)
+    def create_collection(self, name: str, dim: int, metric: str = "cosine", quantized: bool = False, fields=()) -> Collection:
+        return Collection.create(self.spark, self._path(name), dim, metric, quantized, fields)
 
     def get_collection(self, name: str) -> Collection:
         return Collection.open(self.spark, self._path(name))

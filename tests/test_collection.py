@@ -1,9 +1,11 @@
 import json
 import random
+import re
 
 import pytest
 
 from starling import errors
+from starling.functions.filters import metadata_filter
 from starling.sources.collection import Client, Collection
 from starling.sources.json_io import read_document
 from starling.sources.oplog import LOG, RECORD, fold
@@ -207,3 +209,36 @@ def test_stream(spark, made, tmp_path):
     q = read_changes(spark, made.path + "/log-*").writeStream.format("memory").queryName("changes").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from changes").count() == 3
+
+
+def test_promoted_fields(spark, tmp_path):
+    rows = [(str(i), [float(i), 1.0], json.dumps({"lang": ["de", "en", "fr"][i % 3], "n": i})) for i in range(60)]
+    made = Collection.create(spark, f"file://{tmp_path}/p", 2, "l2", fields=["lang", "n"])
+    made.add_many(spark.createDataFrame(rows, "id string, vector array<float>, metadata string"))
+    plain = lambda where: sorted(r["id"] for r in made.records().where(metadata_filter(where)).collect())
+    kept = lambda where: sorted(r["id"] for r in made.records(where).collect())
+    cases = [{"lang": "de"}, {"lang": {"$in": ["en", "xx"]}}, {"n": {"$gt": 50}}, {"n": 7}, {"lang": "fr", "n": {"$lte": 9}}, {"lang": {"$ne": "de"}}, {"other": 1}]
+    made.save()
+    made.update("1", metadata={"lang": "de", "n": 1000})  # the snapshot says en
+    made.upsert("0", [0.0, 1.0], {"lang": "en", "n": -1})
+    made.delete("3")
+    for where in cases:
+        assert kept(where) == plain(where), where
+        assert made.count(where) == len(plain(where))
+    assert "1" in kept({"lang": "de"}) and not {"0", "3"} & set(kept({"lang": "de"}))
+    made.save()
+    made.enable_quantized_search()
+    reopened = Collection.open(spark, made.path)
+    assert reopened.fields == ["lang", "n"] and reopened.stats()["fields"] == ["lang", "n"]
+    for where in cases:
+        assert kept(where) == plain(where), where
+        want = sorted(r["id"] for r in reopened.search([0.0, 1.0], 100, where_filter=where, exact=True).collect())
+        assert want == plain(where) == sorted(r["id"] for r in reopened.search([0.0, 1.0], 100, where_filter=where).collect())
+    plan = reopened.records({"lang": "de", "n": {"$gt": 5}})._jdf.queryExecution().executedPlan().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    assert "text_0" in pushed and "number_1" in pushed
+    made = reopened
+    made.promote("n")
+    assert kept({"lang": "de"}) == plain({"lang": "de"}) and made.fields == ["n"]
+    made.promote()
+    assert kept({"n": {"$gt": 50}}) == plain({"n": {"$gt": 50}})

@@ -63,3 +63,18 @@ def test_typed_conditions_reach_the_scan(spark, tmp_path):
             assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan, plan
     either = Or((Eq("lang", "fr"), Gt("n", 6)))
     assert sorted(r["id"] for r in df.where(filters.typed_condition(either, fields)).collect()) == [2, 3, 5]
+
+
+CASES = [{"cat": "sci"}, {"cat": {"$in": ["art", "music"]}}, {"cat": {"$in": []}}, {"cat": {"$ne": "sci"}}, {"n": 1}, {"n": 1.0}, {"n": "12"}, {"n": True}, {"n": {"$in": [1, 1.0]}}, {"n": {"$in": [1, "12"]}},
+         {"n": {"$gt": 0, "$lt": 10}}, {"cat": "sci", "n": {"$gte": 30}}, {"x": None}, {}, {"a.b": True}, Or((Eq("cat", "art"), Gt("n", 20))), Or((Eq("cat", "art"), Eq("a.b", True)))]
+
+
+def test_implied_conditions_lose_nothing(rows):
+    keys = ["cat", "n"]
+    wide = rows.withColumns(filters.promoted("metadata", keys))
+    for given in CASES:
+        want, condition = rows.where(metadata_filter(given)), filters.implied(given, keys)
+        got = wide.where(metadata_filter(given)) if condition is None else wide.where(condition).where(metadata_filter(given))
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect()), given
+    assert filters.implied({"n": True}, keys) is None and filters.implied({"other": 1}, keys) is None and filters.implied({"cat": {"$ne": "a"}}, keys) is None
+    assert filters.implied(Or((Eq("cat", "art"), Eq("a.b", True))), keys) is None
