@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,8 +65,15 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.text_of = {i: str(i) for i in self.bytes_of}
-        #: Tokens, and with -1 what only begins tokens.
-        self.begins = {b[:n]: -1 for b in ranks for n in range(1, len(b))} | ranks
+        #: Bytes that begin tokens, how far into a text they reach, the longest token that each of them holds from its start, and the next shorter one.
+        self.trie, self.top, self.shorter, self.size = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, {}, {i: len(b) for i, b in self.bytes_of.items()}
+        for b in sorted(ranks):  # each after what it begins with
+            self.trie.add_word(b.decode("latin-1"), ranks[b])
+            longest = None
+            for n in range(1, len(b)):
+                longest = self.top.setdefault(b[:n], longest)
+            self.top[b], self.shorter[ranks[b]] = ranks[b], longest
+        self.trie.make_automaton()
         self._edges: dict[bytes, tuple] = {}
         self._follows: dict[int, bool] = {}
         self._made: dict[int, bool] = {}
@@ -94,11 +102,11 @@ class Vocabulary:
         return known
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether `right` may stand after `left`: no merge ever joins across their border."""
+        """Whether `right` may stand after `left`: merging makes it, and no merge ever joins across their border."""
         key = left << 32 | right
         known = self._follows.get(key)
         if known is None:
-            known, get = True, self.ranks.get
+            known, get = self.made(right), self.ranks.get
             for x, x_made, x_used in self.edges(self.bytes_of[left])[1]:
                 for y, y_made, y_used in self.edges(self.bytes_of[right])[0]:
                     rank = get(x + y)
@@ -122,7 +130,7 @@ class PrefixTable:
         v, data, last = self.v, self.data, self.last
         for start in range(max(0, end - v.longest), end):
             token = v.ranks.get(data[start:end])
-            if token is not None and (not start or v.follows(last[start - 1], token)) and v.made(token):
+            if token is not None and (v.follows(last[start - 1], token) if start else v.made(token)):
                 return token
         raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
 
@@ -160,42 +168,33 @@ def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
 
     A prefix has one valid last token, so however a prefix is reached its entry is
     right, and one that was reached and couldn't be gone on from needs no second look."""
-    n, begins, whole, follows, made = len(data), v.begins.get, v.ranks.get, v._follows.get, v._made.get
-    last: list = [None] * (n + 1)
+    n, text, shorter, size, follows = len(data), data.decode("latin-1"), v.shorter, v.size, v._follows.get
+    last, longest, at = [None] * (n + 1), [None] * n, 0
+    for end, token in v.trie.iter_long(text):
+        longest[at], at = token, end + 1
     at, left, stack = 0, None, []
     while at < n:
-        token = whole(data[at:])  # the rest is often one token
-        if token is not None and left is not None and v.follows(left, token) and v.made(token):
-            return [before for _, before, _ in stack[1:]] + [left, token]
-        tokens = []
-        for end in range(at + 1, n + 1):
-            token = begins(data[at:end])
-            if token is None:
-                break
-            tokens.append(token)
+        token = longest[at]
+        if token is None:
+            token = v.top.get(data[at : at + v.trie.longest_prefix(text[at:])])
         while True:
-            while tokens:
-                end = at + len(tokens)
-                token = tokens.pop()
-                if token < 0 or last[end] is not None:
-                    continue
-                if left is not None:
-                    known = follows(left << 32 | token)
-                    if not (v.follows(left, token) if known is None else known):
-                        continue
-                known = made(token)
-                if v.made(token) if known is None else known:
-                    last[end] = token
-                    break
-            else:
-                if not stack:
-                    raise ValueError("the vocabulary has no token for some byte")
-                at, left, tokens = stack.pop()
-                continue
-            break
-        stack.append((at, left, tokens))
+            while token is not None:
+                end = at + size[token]
+                if last[end] is None:
+                    fits = v.made(token) if left is None else follows(left << 32 | token)
+                    if v.follows(left, token) if fits is None else fits:
+                        break
+                token = shorter[token]
+            if token is not None:
+                break
+            if not stack:
+                raise ValueError("the vocabulary has no token for some byte")
+            at, left, token = stack.pop()
+            token = shorter[token]
+        last[end] = token
+        stack.append((at, left, token))
         at, left = end, token
-    return [before for _, before, _ in stack[1:]] + [left] if n else []
+    return [token for _, _, token in stack]
 
 
 class _Words(dict):
@@ -261,6 +260,8 @@ class Encoder:
         return [whole] if whole is not None else encode_piece(self.vocabulary, data)
 
     def _word(self, word: str) -> tuple[int, ...]:
+        if word.isalpha():  # one piece
+            return tuple(self._piece(" " + word))
         pieces = self.split_plain(" " + word)
         if len(pieces) == 1:
             return tuple(self._piece(pieces[0]))
