@@ -65,14 +65,11 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.text_of = {i: str(i) for i in self.bytes_of}
-        #: Bytes that begin tokens, how far into a text they reach, the longest token that each of them holds from its start, and the next shorter one.
-        self.trie, self.top, self.shorter, self.size = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, {}, {i: len(b) for i, b in self.bytes_of.items()}
-        for b in sorted(ranks):  # each after what it begins with
-            self.trie.add_word(b.decode("latin-1"), ranks[b])
-            longest = None
-            for n in range(1, len(b)):
-                longest = self.top.setdefault(b[:n], longest)
-            self.top[b], self.shorter[ranks[b]] = ranks[b], longest
+        #: Tokens as a trie, their lengths, and the next shorter token that each begins with.
+        self.trie, self.size, self.shorter = ahocorasick.Automaton(ahocorasick.STORE_INTS), {i: len(b) for i, b in self.bytes_of.items()}, {}
+        for b, i in ranks.items():
+            self.trie.add_word(b.decode("latin-1"), i)
+            self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), None)
         self.trie.make_automaton()
         self._edges: dict[bytes, tuple] = {}
         self._follows: dict[int, bool] = {}
@@ -107,7 +104,7 @@ class Vocabulary:
         known = self._follows.get(key)
         if known is None:
             known, get = self.made(right), self.ranks.get
-            for x, x_made, x_used in self.edges(self.bytes_of[left])[1]:
+            for x, x_made, x_used in self.edges(self.bytes_of[left])[1] if known else ():
                 for y, y_made, y_used in self.edges(self.bytes_of[right])[0]:
                     rank = get(x + y)
                     if rank is not None and rank < x_used and rank <= y_used and x_made < y_used and y_made < x_used:
@@ -169,14 +166,16 @@ def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
     A prefix has one valid last token, so however a prefix is reached its entry is
     right, and one that was reached and couldn't be gone on from needs no second look."""
     n, text, shorter, size, follows = len(data), data.decode("latin-1"), v.shorter, v.size, v._follows.get
-    last, longest, at = [None] * (n + 1), [None] * n, 0
+    last, longest = [None] * (n + 1), [None] * n
     for end, token in v.trie.iter_long(text):
-        longest[at], at = token, end + 1
+        longest[end + 1 - size[token]] = token
     at, left, stack = 0, None, []
     while at < n:
         token = longest[at]
-        if token is None:
-            token = v.top.get(data[at : at + v.trie.longest_prefix(text[at:])])
+        if token is None:  # not among the longest matches from the start
+            end, token = next(v.trie.iter_long(text, at), (n, None))
+            if token is not None and end + 1 - size[token] != at:
+                token = None
         while True:
             while token is not None:
                 end = at + size[token]
@@ -188,7 +187,7 @@ def encode_piece(v: Vocabulary, data: bytes) -> list[int]:
             if token is not None:
                 break
             if not stack:
-                raise ValueError("the vocabulary has no token for some byte")
+                return PrefixTable(v, data).ids()
             at, left, token = stack.pop()
             token = shorter[token]
         last[end] = token

@@ -65,6 +65,23 @@ def test_dynamic_program_is_the_merge_rule(both):
         assert bpe.encode_piece(v, data) == [v.ranks[b] for b in bpe.merge_bytes(data, v.ranks)]
 
 
+def test_small_vocabularies():
+    rng = random.Random(5)
+    for _ in range(60):
+        tokens = [b"a", b"b", b"c"]
+        while len(tokens) < 15:
+            joined = rng.choice(tokens) + rng.choice(tokens)
+            if joined not in tokens:
+                tokens.append(joined)
+        v = bpe.Vocabulary({t: i for i, t in enumerate(tokens)})
+        for _ in range(40):
+            data = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 25)))
+            assert bpe.encode_piece(v, data) == [v.ranks[t] for t in bpe.merge_bytes(data, v.ranks)]
+        for data in (b"z", b"abzab", b"abz"):
+            with pytest.raises(ValueError):
+                bpe.encode_piece(v, data)
+
+
 def test_query(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "", "x"), (None, "é" * 5000, "x")], "doc_id long, text string, n_tokens string")
     rows = bpe.round_trip(df, P.path(NAMES[0]), P.PATTERN).collect()
